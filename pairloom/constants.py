@@ -32,11 +32,8 @@ SECRET_PATTERNS = (
     r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
 )
-# A URL with user and password, and the placeholder passwords that do not count.
-URL_CREDENTIAL = r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'"`${}<>]+:[^\s:/@'"`${}<>]{3,}@[^\s'"`/]+"""
-URL_PLACEHOLDER = (
-    r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'"`${}<>]+:(?:pass|password|secret|changeme)@[^\s'"`/]+"""
-)
+# A URL with user and password, placeholder passwords aside.
+URL_CREDENTIAL = r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'"`${}<>]+:(?!(?:pass|password|secret|changeme)@)[^\s:/@'"`${}<>]{3,}@[^\s'"`/]+"""
 
 # Questions, their unit kinds, presence option, status, cut and floor.
 SIGNALS = (

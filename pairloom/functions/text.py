@@ -96,9 +96,8 @@ def overlap_share(words: Column, body_words: Column) -> Column:
 
 def secret_kinds(text: Column) -> Column:
     """Numbers of the credential patterns that match, 1-based; the last one is the URL form."""
-    placeholder_free = F.regexp_replace(text, K.URL_PLACEHOLDER, " ")
     hits = [F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(K.SECRET_PATTERNS, 1)]
-    hits.append(F.when(placeholder_free.rlike(K.URL_CREDENTIAL), F.lit(len(K.SECRET_PATTERNS) + 1)))
+    hits.append(F.when(text.rlike(K.URL_CREDENTIAL), F.lit(len(K.SECRET_PATTERNS) + 1)))
     return F.array_compact(F.array(*hits))
 
 
@@ -153,24 +152,6 @@ def line_count(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("bigint")
 
 
-def line_starts(text: Column) -> Column:
-    """Struct array (line, start, text) with 0-based start offsets, lines split on newline only.
-
-    The start of line n is the length of all earlier lines plus one newline each, so it follows from the
-    length of the prefix.
-    """
-    lines = F.split(text, "\n")
-    folded = F.aggregate(
-        lines,
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts")),
-        lambda acc, line: F.struct(
-            (acc["at"] + F.length(line) + 1).alias("at"),
-            F.concat(acc["starts"], F.array(acc["at"])).alias("starts"),
-        ),
-    )
-    return folded["starts"]
-
-
 def safe_display(value: Column) -> Column:
     """Text without the characters that would break a Markdown line."""
     return F.regexp_replace(value, "[`<>\\r\\n  ]", " ")
