@@ -5,8 +5,9 @@ one representative per such class. A class of n copies is one row with ``pairs =
 that many rows: nothing is lost, and a group of copies holding a third of all units costs one row.
 
 Between classes the join uses prefix filtering: order each set by (frequency, hash), keep the first
-``size - ceil(t * size) + 1`` entries; two sets with Jaccard >= t share an entry of their prefixes. The
-frequent entries sort last and mostly never enter the index; buckets that stay large are cut into blocks.
+``size - ceil(t * size) + 1`` entries; two sets with Jaccard >= t share an entry of their prefixes. Entries
+of one set only come first and match nothing, so most sets contribute little to the index; the frequent
+entries come last and mostly never enter it. Buckets that stay large are cut into blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pairloom import constants as K
 from pairloom.functions import measures as M
 from pairloom.functions import text as T
-from pairloom.operators.skew import blocked_self_join_sides, hot_keys, lookup_join
+from pairloom.operators.skew import HOT_ROWS, blocked_self_join_sides, hot_keys, lookup_join
 from pairloom.session import cut_lineage
 
 # Guards ceil() against products such as 0.45 * 20 that land just above an integer.
@@ -37,27 +38,32 @@ def content_classes(units: DataFrame) -> DataFrame:
     )
 
 
-def prefix_index(sets: DataFrame, threshold: float, frequent_rows: int) -> DataFrame:
-    """(cid, lines, size, h, pos) for the prefix entries of each set of ``items``."""
-    entries = sets.select(
-        "cid", "lines", F.size("items").alias("size"), F.explode("items").alias("h")
-    )
-    frequent = hot_keys(entries, "h", frequent_rows).select(F.col("h").alias("_fh"), F.col("hot_rows").alias("_freq"))
-    ordered = Window.partitionBy("cid").orderBy(F.coalesce("_freq", F.lit(0)), "h")
+def prefix_index(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(cid, lines, size, h, pos) for the prefix entries of each set of ``items`` that occur in other sets too.
+
+    Entries of one set only are never shuffled to their set again: they take the first positions, so their
+    number is all that counts.
+    """
+    entries = sets.select("cid", "lines", F.size("items").alias("size"), F.explode("items").alias("h"))
+    counts = cut_lineage(entries.groupBy("h").agg(F.count(F.lit(1)).alias("freq")).where(F.col("freq") > 1))
+    hot = counts.where(F.col("freq") > hot_rows).orderBy(F.col("freq").desc(), "h").select("h")
+    shared = lookup_join(entries, counts, "h", hot=hot)
+    # A set is bounded by its text, so the window per set is too.
+    per_set = Window.partitionBy("cid")
+    alone = F.col("size") - F.count(F.lit(1)).over(per_set)
     keep = F.col("size") - F.ceil(F.col("size") * threshold - SLACK) + 1
     return (
-        entries.join(F.broadcast(frequent), F.col("h") == F.col("_fh"), "left")
-        .withColumn("pos", F.row_number().over(ordered))
+        shared.withColumn("pos", alone + F.row_number().over(per_set.orderBy("freq", "h")))
         .where(F.col("pos") <= keep)
-        .select("cid", "lines", "size", "h", "pos")
+        .select("cid", "lines", "size", "h", F.col("pos").cast("int").alias("pos"))
     )
 
 
 def candidate_pairs(
-    sets: DataFrame, threshold: float, min_size_ratio: float = 0.0, block_rows: int = 2000, frequent_rows: int = 1000
+    sets: DataFrame, threshold: float, min_size_ratio: float = 0.0, block_rows: int = 2000, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Distinct (a, b), a < b, a superset of all pairs with Jaccard >= threshold and the line ratio."""
-    index = cut_lineage(prefix_index(sets, threshold, frequent_rows))
+    index = cut_lineage(prefix_index(sets, threshold, hot_rows))
     left, right = blocked_self_join_sides(index, "h", "cid", block_rows)
     left = left.select("h", "_cell", *[F.col(c).alias(f"{c}_a") for c in ("cid", "lines", "size", "pos")])
     right = right.select("h", "_cell", *[F.col(c).alias(f"{c}_b") for c in ("cid", "lines", "size", "pos")])
@@ -93,7 +99,7 @@ def similar_class_pairs(
     min_jaccard: float = K.MIN_JACCARD,
     min_size_ratio: float = K.MIN_SIZE_RATIO,
     block_rows: int = 2000,
-    frequent_rows: int = 1000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Pairs of classes with their Jaccard; ``classes`` has cid, lines, copies and items (shingle hashes).
 
@@ -101,7 +107,7 @@ def similar_class_pairs(
     """
     # The sets feed the index and both sides of the check, so they are written once.
     filled = cut_lineage(classes.where(F.size("items") > 0))
-    candidates = cut_lineage(candidate_pairs(filled, min_jaccard, min_size_ratio, block_rows, frequent_rows))
+    candidates = cut_lineage(candidate_pairs(filled, min_jaccard, min_size_ratio, block_rows, hot_rows))
     between = (
         attach(candidates, filled)
         .withColumn("jaccard", M.jaccard(F.col("items_a"), F.col("items_b")))
@@ -121,19 +127,26 @@ def similar_class_pairs(
 
 
 def rare_name_pairs(profiles: DataFrame, max_df: int = K.MAX_DOCUMENT_FREQUENCY, min_surface: int = K.MIN_SURFACE) -> DataFrame:
-    """Distinct pairs sharing a surface name that at most ``max_df`` units use.
+    """Pairs sharing a surface name that at most ``max_df`` units use, with counts only.
 
-    The frequency bound is part of the operator, so each name yields at most max_df^2/2 pairs. The most
-    frequent names leave through a bounded broadcast before the shuffle by name.
+    Columns: a, b, common (shared rare names) and, per side, lines, names, frequent (names too frequent to pair
+    by) and mass (histogram total). The frequency bound is part of the operator, so a name yields at most
+    max_df^2/2 pairs. The most frequent names leave through a bounded broadcast before the shuffle by name.
     """
-    names = profiles.where(F.size("surface") >= min_surface).select("cid", F.explode("surface").alias("name"))
+    mass = F.aggregate(F.map_values("shape"), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+    names = profiles.where(F.size("surface") >= min_surface).select(
+        "cid", "lines", F.size("surface").alias("names"), mass.alias("mass"), F.explode("surface").alias("name")
+    )
     rare = names.groupBy("name").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df).select("name")
     hot = hot_keys(names, "name", max_df).select("name")
-    postings = names.join(F.broadcast(hot), "name", "left_anti").join(rare, "name")
-    other = postings.select("name", F.col("cid").alias("b"))
-    return (
-        postings.select("name", F.col("cid").alias("a")).join(other, "name").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    )
+    kept = names.join(F.broadcast(hot), "name", "left_anti").join(rare, "name")
+    rare_names = F.count(F.lit(1)).over(Window.partitionBy("cid"))
+    postings = cut_lineage(kept.withColumn("name", F.xxhash64("name")).withColumn("frequent", (F.col("names") - rare_names).cast("int")))
+    facts = ("lines", "names", "frequent", "mass")
+    left = postings.select("name", F.col("cid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in facts])
+    right = postings.select("name", F.col("cid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
+    sides = [f"{c}_{s}" for c in facts for s in ("a", "b")]
+    return left.join(right, "name").where(F.col("a") < F.col("b")).groupBy("a", "b", *sides).agg(F.count(F.lit(1)).alias("common"))
 
 
 def decide(pairs: DataFrame, min_jaccard=K.MIN_JACCARD, min_size_ratio=K.MIN_SIZE_RATIO, min_score=K.MIN_SCORE, min_surface=K.MIN_SURFACE) -> DataFrame:
@@ -156,6 +169,45 @@ def decide(pairs: DataFrame, min_jaccard=K.MIN_JACCARD, min_size_ratio=K.MIN_SIZ
     return facts.withColumn("reason", reason)
 
 
+FACTS = ["jaccard", "size_ratio", "surface_jaccard", "shape_similarity", "score"]
+
+
+def low_overlap_decisions(profiles: DataFrame, min_jaccard=K.MIN_JACCARD, min_size_ratio=K.MIN_SIZE_RATIO, min_score=K.MIN_SCORE) -> DataFrame:
+    """Every pair sharing a rare name with its reason; facts for the proposed ones.
+
+    ``profiles`` has cid, lines, items (shingle hashes), surface and shape. Most pairs are settled from counts:
+    the line ratio, membership in the pairs of high overlap, or an upper bound of the score. Only the rest
+    is joined with sets and histograms.
+    """
+    profiles = cut_lineage(profiles)
+    sets = profiles.where(F.size("items") > 0).select("cid", "lines", "items")
+    close = attach(cut_lineage(candidate_pairs(sets, min_jaccard, min_size_ratio)), sets.select("cid", "items"))
+    close = close.where(M.jaccard(F.col("items_a"), F.col("items_b")) >= min_jaccard).select("a", "b", F.lit(True).alias("_close"))
+    ratio = M.size_ratio(F.col("lines_a"), F.col("lines_b"))
+    most = F.least(F.col("common") + F.least("frequent_a", "frequent_b"), F.col("names_a"), F.col("names_b"))
+    bound = (M.jaccard_counts(most, F.col("names_a"), F.col("names_b")) + M.size_ratio(F.col("mass_a"), F.col("mass_b"))) / F.lit(2.0)
+    counted = rare_name_pairs(profiles).select("a", "b", ratio.alias("size_ratio"), bound.alias("_bound"))
+    early = F.when(F.col("size_ratio") < min_size_ratio, "size_ratio").when(F.col("_close"), "high_overlap").when(F.col("_bound") < min_score - SLACK, "score")
+    settled = cut_lineage(counted.join(close, ["a", "b"], "left").select("a", "b", "size_ratio", early.alias("reason")))
+    open_pairs = attach(settled.where(F.col("reason").isNull()).drop("reason"), profiles.select("cid", "surface", "shape"))
+    scored = open_pairs.select(
+        "a", "b", "size_ratio", M.jaccard(F.col("surface_a"), F.col("surface_b")).alias("surface_jaccard"),
+        M.shape_similarity(F.col("shape_a"), F.col("shape_b")).alias("shape_similarity"),
+    ).withColumn("score", (F.col("surface_jaccard") + F.col("shape_similarity")) / F.lit(2.0))
+    scored = cut_lineage(scored)
+    good = attach(scored.where(F.col("score") >= min_score), profiles.select("cid", "items"))
+    proposed = good.select("a", "b", F.lit("proposed").alias("reason"), M.jaccard(F.col("items_a"), F.col("items_b")).alias("jaccard"), *FACTS[1:])
+    blank = [F.lit(None).cast("double").alias(c) for c in FACTS]
+    rejected = scored.where(F.col("score") < min_score).select("a", "b", F.lit("score").alias("reason"), *blank)
+    decided = settled.where(F.col("reason").isNotNull()).select("a", "b", "reason", *blank)
+    return proposed.unionByName(rejected).unionByName(decided)
+
+
+def low_overlap_pairs(profiles: DataFrame, **options) -> DataFrame:
+    """Pairs with few common shingles but a common vocabulary and shape, with their facts."""
+    return low_overlap_decisions(profiles, **options).where(F.col("reason") == "proposed")
+
+
 def overlapping(a: str, b: str, columns: list[str]) -> Column:
     """Same path and intersecting half-open ranges; false where units carry no ranges."""
     if f"path_{a}" not in columns:
@@ -167,20 +219,6 @@ def overlapping(a: str, b: str, columns: list[str]) -> Column:
     )
 
 
-def low_overlap_pairs(profiles: DataFrame, **options) -> DataFrame:
-    """Pairs with few common shingles but a common vocabulary and shape.
-
-    ``profiles`` has cid, lines, items (shingles), surface and shape.
-    """
-    return decide(rare_name_facts(profiles), **options).where(F.col("reason") == "proposed")
-
-
-def rare_name_facts(profiles: DataFrame) -> DataFrame:
-    """Every pair sharing a rare name, with the attributes of both members."""
-    written = cut_lineage(profiles)
-    return attach(cut_lineage(rare_name_pairs(written)), written)
-
-
 def bounded_pairs(sets: DataFrame, min_j: float, max_j: float, **tuning) -> DataFrame:
     """Pairs with min_j <= Jaccard < max_j."""
     sets = cut_lineage(sets)

@@ -21,13 +21,15 @@ def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
     )
 
 
-def lookup_join(big: DataFrame, small: DataFrame, key: str, min_rows: int = HOT_ROWS, how: str = "inner") -> DataFrame:
-    """Join many rows to a table with one row per key.
+def lookup_join(
+    big: DataFrame, small: DataFrame, key: str, min_rows: int = HOT_ROWS, how: str = "inner", hot: DataFrame | None = None
+) -> DataFrame:
+    """Join many rows to a table with one row per key. ``hot`` may give the hot keys if they are known already.
 
     Rows of hot keys meet a broadcast of those keys' rows (bounded by MAX_HOT_KEYS) and are never
     shuffled by the hot key; the rest takes a shuffle join.
     """
-    hot = hot_keys(big, key, min_rows).select(F.col(key).alias("_hot"))
+    hot = (hot_keys(big, key, min_rows) if hot is None else hot.limit(MAX_HOT_KEYS)).select(F.col(key).alias("_hot"))
     tagged = big.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left")
     hot_side = small.join(F.broadcast(hot), F.col(key) == F.col("_hot"), "left_semi")
     heavy = tagged.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot_side), key, how)

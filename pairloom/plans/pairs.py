@@ -133,7 +133,7 @@ decided AS (SELECT *, (surface_jaccard + shape_similarity) / CAST(2 AS DOUBLE) A
 
 def pair_decision_reasons(spark, folder):
     """How many candidate pairs of the second source end at each reason."""
-    decided = S.decide(S.rare_name_facts(profiles(spark, folder)), min_score=LOW_SCORE)
+    decided = S.low_overlap_decisions(profiles(spark, folder), min_score=LOW_SCORE)
     return decided.groupBy("reason").agg(F.count(F.lit(1)).alias("pairs"))
 
 
