@@ -39,14 +39,6 @@ def shape_similarity(a: Column, b: Column) -> Column:
     return F.when(most > 0, least.cast("double") / most.cast("double")).otherwise(F.lit(0.0))
 
 
-def covered_positions(small: Column, other: Column, k: int) -> Column:
-    """Positions of ``small`` inside a k-gram that also occurs in ``other``; both are k-gram lists."""
-    starts = F.filter(
-        F.transform(small, lambda g, i: F.when(F.array_contains(other, g), i)), lambda i: i.isNotNull()
-    )
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (k - 1)))))
-
-
 def rate(k: Column, n: Column) -> Column:
     return F.when(n > 0, k.cast("double") / n.cast("double"))
 

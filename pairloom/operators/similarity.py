@@ -227,10 +227,24 @@ def bounded_pairs(sets: DataFrame, min_j: float, max_j: float, **tuning) -> Data
     return pairs.withColumn("jaccard", j).where((j >= min_j) & (j < max_j)).select("a", "b", "jaccard")
 
 
-def token_coverage(pairs: DataFrame, k: int) -> Column:
-    """Share of the smaller member's tokens inside a k-gram the larger one has too."""
-    a, b = F.col("tokens_a"), F.col("tokens_b")
-    a_small = F.size(a) <= F.size(b)
-    small, other = F.when(a_small, a).otherwise(b), F.when(a_small, b).otherwise(a)
-    covered = M.covered_positions(T.kgrams(small, k, T.SEPARATOR), T.kgrams(other, k, T.SEPARATOR), k)
-    return F.when(F.size(small) > 0, F.size(covered).cast("double") / F.size(small)).otherwise(F.lit(0.0))
+def token_coverage(pairs: DataFrame, k: int, name: str) -> DataFrame:
+    """(a, b, share): tokens of the smaller member inside a k-gram the larger one has too.
+
+    ``pairs`` has a, b, small and other (token arrays, materialised). Hits become start positions; a start covers
+    up to the next one, so the union of windows is a sum. Work grows with the tokens of the pairs.
+    """
+    def grams(column: str) -> Column:
+        tokens = F.col(column)
+        window = lambda i: F.xxhash64(*[F.get(tokens, i + d) for d in range(k)])
+        return F.when(F.size(tokens) >= k, F.transform(F.sequence(F.lit(0), F.size(tokens) - k), window))
+
+    starts = pairs.select("a", "b", F.posexplode(grams("small")).alias("at", "h"))
+    known = pairs.select("a", "b", F.explode(F.array_distinct(grams("other"))).alias("h"))
+    following = F.lead("at").over(Window.partitionBy("a", "b").orderBy("at"))
+    covered = (
+        starts.join(known, ["a", "b", "h"], "left_semi")
+        .withColumn("step", F.least(F.lit(k), F.coalesce(following - F.col("at"), F.lit(k))))
+        .groupBy("a", "b").agg(F.sum("step").alias("covered"))
+    )
+    share = F.coalesce(F.col("covered"), F.lit(0)).cast("double") / F.size("small")
+    return pairs.join(covered, ["a", "b"], "left").select("a", "b", F.when(F.size("small") > 0, share).otherwise(F.lit(0.0)).alias(name))

@@ -43,6 +43,13 @@ def sql_kgrams(tokens: str, k: int, separator: str = "' '") -> str:
     )
 
 
+def sql_gram_rows(source: str, keys: str, tokens: str, k: int) -> str:
+    """One row (keys, g) per window of k tokens, by looking ahead instead of slicing lists."""
+    ahead = " || ' ' || ".join(["w", *[f"lead(w, {d}) OVER win" for d in range(1, k)]])
+    return f"""(SELECT * FROM (SELECT {keys}, {ahead} AS g FROM (SELECT {keys}, unnest({tokens}) AS w, generate_subscripts({tokens}, 1) AS i FROM {source})
+  WINDOW win AS (PARTITION BY {keys} ORDER BY i)) WHERE g IS NOT NULL)"""
+
+
 def sql_values(rows: list[tuple], columns: str) -> str:
     def lit(v):
         if isinstance(v, bool):

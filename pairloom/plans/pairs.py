@@ -238,23 +238,21 @@ FROM m JOIN classes ON cid = member JOIN c USING (cluster) GROUP BY cluster""",
 
 # --- pair features ----------------------------------------------------------------------------------
 
-def _featured(spark, folder):
-    pairs = B.similar(spark, folder).where(F.col("a") != F.col("b")).select("a", "b", "jaccard")
-    return S.attach(pairs, B.classes(spark, folder).select("cid", "lines", "tokens"))
-
-
 def pair_features(spark, folder):
-    rows = _featured(spark, folder)
+    pairs = B.similar(spark, folder).where(F.col("a") != F.col("b")).select("a", "b", "jaccard")
+    rows = S.attach(cut_lineage(pairs), B.classes(spark, folder).select("cid", "lines", "tokens"))
     a, b = F.col("tokens_a"), F.col("tokens_b")
-    return rows.select(
-        "a", "b", F.col("jaccard").alias("shingle_jaccard"),
-        M.jaccard(F.array_distinct(a), F.array_distinct(b)).alias("vocab_jaccard"),
-        S.token_coverage(rows, K.COVERAGE_WIDTH).alias("coverage_10"),
-        S.token_coverage(rows, K.COVERAGE_WIDTH_WIDE).alias("coverage_50"),
-        F.least("lines_a", "lines_b").alias("min_lines"),
-        M.size_ratio(F.col("lines_a"), F.col("lines_b")).alias("size_ratio"),
-        F.least(F.size(a), F.size(b)).cast("bigint").alias("min_tokens"),
+    a_small = F.size(a) <= F.size(b)
+    base = cut_lineage(rows.select("*", F.when(a_small, a).otherwise(b).alias("small"), F.when(a_small, b).otherwise(a).alias("other")))
+    narrow = base.select(
+        "a", "b", F.col("jaccard").alias("shingle_jaccard"), M.jaccard(F.array_distinct(a), F.array_distinct(b)).alias("vocab_jaccard"),
+        F.least("lines_a", "lines_b").alias("min_lines"), M.size_ratio(F.col("lines_a"), F.col("lines_b")).alias("size_ratio"),
+        F.size("small").cast("bigint").alias("min_tokens"),
     )
+    texts = base.select("a", "b", "small", "other")
+    ten = S.token_coverage(texts, K.COVERAGE_WIDTH, "coverage_10")
+    fifty = S.token_coverage(texts, K.COVERAGE_WIDTH_WIDE, "coverage_50")
+    return narrow.join(ten, ["a", "b"]).join(fifty, ["a", "b"])
 
 
 def _sql_cover(k: int) -> str:

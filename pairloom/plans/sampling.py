@@ -157,9 +157,10 @@ def rewrite_chain(spark, folder):
 QUERIES["rewrite_chain"] = (
     rewrite_chain,
     f"""WITH {B.SQL_UNITS}, d AS (SELECT id, tokens, {B.sql_unit_hash("'stop'", 'id')} * {D(0.4)} + {D(0.2)} AS stop FROM units WHERE len(tokens) >= 20),
-r AS (SELECT id, tokens, stop, s, list_transform(tokens, lambda w: CASE WHEN CAST(CAST('0x' || substr(md5(w), 1, 4) AS UBIGINT) AS DOUBLE) / {D(65536)} < s THEN 'id' ELSE w END) AS ch FROM d, (SELECT unnest([{', '.join(D(s) for s in STEPS)}]) AS s)),
-k AS (SELECT id, stop, s, list_distinct({B.sql_kgrams('tokens', 5)}) AS x, list_distinct({B.sql_kgrams('ch', 5)}) AS y FROM r),
-j AS (SELECT id, stop, s, len(list_intersect(x, y)) / CAST(greatest(len(x) + len(y) - len(list_intersect(x, y)), 1) AS DOUBLE) AS j FROM k),
+r AS (SELECT id, s, list_transform(tokens, lambda w: CASE WHEN CAST(CAST('0x' || substr(md5(w), 1, 4) AS UBIGINT) AS DOUBLE) / {D(65536)} < s THEN 'id' ELSE w END) AS ch FROM d, (SELECT unnest([{', '.join(D(s) for s in STEPS)}]) AS s)),
+x AS (SELECT DISTINCT id, g FROM {B.sql_gram_rows('d', 'id', 'tokens', 5)}), y AS (SELECT DISTINCT id, s, g FROM {B.sql_gram_rows('r', 'id, s', 'ch', 5)}),
+nx AS (SELECT id, count(*) AS n FROM x GROUP BY 1), ny AS (SELECT id, s, count(*) AS n FROM y GROUP BY 1, 2), c AS (SELECT y.id, s, count(*) AS n FROM x JOIN y ON x.id = y.id AND x.g = y.g GROUP BY 1, 2),
+j AS (SELECT ny.id, ny.s, stop, coalesce(c.n, 0) / CAST(greatest(nx.n + ny.n - coalesce(c.n, 0), 1) AS DOUBLE) AS j FROM ny JOIN nx ON nx.id = ny.id JOIN d ON d.id = ny.id LEFT JOIN c ON c.id = ny.id AND c.s = ny.s),
 o AS (SELECT id, min(s) AS step, arg_min(j, s) AS jaccard FROM j WHERE j <= stop GROUP BY id)
 SELECT d.id, step, jaccard FROM d LEFT JOIN o ON o.id = d.id""",
 )

@@ -311,8 +311,8 @@ def kgram_counts(spark, folder):
 
 QUERIES["kgram_counts"] = (
     kgram_counts,
-    f"""WITH {B.SQL_UNITS}, k AS (SELECT id, tokens, unnest([3, 5, 10]) AS k FROM units), g AS (SELECT id, k, len(tokens) AS n, unnest(range(1, greatest(len(tokens) - k + 2, 1))) AS i, tokens FROM k),
-c AS (SELECT id, k, count(DISTINCT array_to_string(tokens[i:i + k - 1], ' ')) AS shingles FROM g GROUP BY 1, 2)
+    f"""WITH {B.SQL_UNITS}, k AS (SELECT id, tokens, unnest([3, 5, 10]) AS k FROM units),
+c AS ({' UNION ALL '.join(f"SELECT id, {k} AS k, count(DISTINCT g) AS shingles FROM {B.sql_gram_rows('units', 'id', 'tokens', k)} GROUP BY 1" for k in (3, 5, 10))})
 SELECT k.id, CAST(k.k AS BIGINT) AS k, CAST(greatest(len(tokens) - k.k + 1, 0) AS BIGINT) AS windows, CAST(coalesce(shingles, 0) AS BIGINT) AS shingles FROM k LEFT JOIN c ON c.id = k.id AND c.k = k.k""",
 )
 
@@ -390,9 +390,9 @@ QUERIES["case_audit_near"] = (
     case_audit_near,
     f"""WITH c AS (SELECT min(doc_id) AS cid, lang, text FROM documents GROUP BY lang, text),
 t AS (SELECT cid, lang, list_filter(regexp_split_to_array(text, '[^A-Za-z0-9_]+'), lambda x: x <> '') AS tk FROM c),
-s AS (SELECT cid, lang, list_distinct({B.sql_kgrams('tk', 3)}) AS items FROM t), u AS (SELECT cid, lang, unnest(items) AS item FROM s),
+u AS (SELECT DISTINCT cid, lang, g AS item FROM {B.sql_gram_rows('t', 'cid, lang', 'tk', 3)}), s AS (SELECT cid, count(*) AS n FROM u GROUP BY 1),
 p AS (SELECT x.cid AS a, y.cid AS b, count(*) AS common FROM u x JOIN u y ON x.item = y.item AND x.lang = y.lang AND x.cid < y.cid GROUP BY 1, 2),
-j AS (SELECT a, b, common / CAST(greatest(len(m.items) + len(n.items) - common, 1) AS DOUBLE) AS jaccard FROM p JOIN s m ON m.cid = a JOIN s n ON n.cid = b)
+j AS (SELECT a, b, common / CAST(greatest(m.n + n.n - common, 1) AS DOUBLE) AS jaccard FROM p JOIN s m ON m.cid = a JOIN s n ON n.cid = b)
 SELECT * FROM j WHERE jaccard >= CAST({K.CASE_NEAR_DUPLICATE} AS DOUBLE)""",
 )
 
@@ -446,7 +446,7 @@ def benchmark_leakage(spark, folder):
 QUERIES["benchmark_leakage"] = (
     benchmark_leakage,
     f"""WITH d AS (SELECT doc_id, {B.sql_tokens('text')} AS t FROM documents), b AS (SELECT item_id, {B.sql_tokens('text')} AS t FROM benchmark),
-dg AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest({B.sql_kgrams('t', 3)}) AS g FROM d)), bg AS (SELECT DISTINCT item_id, g FROM (SELECT item_id, unnest({B.sql_kgrams('t', 3)}) AS g FROM b)),
+dg AS (SELECT DISTINCT doc_id, g FROM {B.sql_gram_rows('d', 'doc_id', 't', 3)}), bg AS (SELECT DISTINCT item_id, g FROM {B.sql_gram_rows('b', 'item_id', 't', 3)}),
 z AS (SELECT item_id, count(*) AS size FROM bg GROUP BY 1), c AS (SELECT doc_id, item_id, count(*) AS common FROM dg JOIN bg USING (g) GROUP BY 1, 2)
 SELECT doc_id, item_id, CAST(common AS BIGINT) AS common, {D('common')} / size AS share FROM c JOIN z USING (item_id) WHERE {D('common')} / size >= {D(0.5)}""",
 )
