@@ -121,7 +121,9 @@ def sign_test(df: DataFrame, keys: list[str], higher: str, lower: str) -> DataFr
     masses = cut_lineage(logs.withColumn("_p", F.exp(F.col("_log") - F.col("_n") * F.ln(F.lit(2.0)))).select(*keys, "_i", "_k", "_p"))
     seen = masses.where(F.col("_i") == F.col("_k")).select(*keys, (F.col("_p") + F.lit(1e-12)).alias("_seen"))
     total = masses.join(seen, keys).where(F.col("_p") <= F.col("_seen")).groupBy(*keys).agg(F.sum("_p").alias("_sum"))
-    return df.join(total, keys, "left").withColumn("sign_test_p", F.least(F.lit(1.0), F.col("_sum"))).drop("_sum")
+    return df.join(total, keys, "left").withColumn(
+        "sign_test_p", F.when(F.col("_sum").isNotNull(), F.least(F.lit(1.0), F.col("_sum")))
+    ).drop("_sum")
 
 
 # --- resampling -------------------------------------------------------------------------------------
