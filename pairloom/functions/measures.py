@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairloom import constants as K
@@ -101,12 +101,19 @@ def imul32(a: Column, b: Column) -> Column:
     return (a.bitwiseAND(low) * b + high).bitwiseAND(F.lit(4294967295))
 
 
-def mulberry32(seed: Column, draw: Column) -> Column:
-    """Draw number ``draw`` (from 0) of the 32-bit generator: its state is a counter, so any draw stands alone."""
+def with_mulberry32(df: DataFrame, seed: Column, draw: Column, name: str) -> DataFrame:
+    """Add draw number ``draw`` (from 0) of the 32-bit generator: its state is a counter, so any draw stands alone.
+
+    Each mixing step is its own column, so no step is computed twice.
+    """
     mask = F.lit(4294967295)
+    one, sixty_one = F.lit(1).cast("bigint"), F.lit(61).cast("bigint")
     step = (draw.cast("bigint") + 1).bitwiseAND(mask) * F.lit(0x6D2B79F5)
-    a = (seed.cast("bigint").bitwiseAND(mask) + step.bitwiseAND(mask)).bitwiseAND(mask)
-    t = imul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(F.lit(1).cast("bigint")))
-    mixed = imul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(F.lit(61).cast("bigint")))
-    t = t.bitwiseXOR((t + mixed).bitwiseAND(mask))
-    return t.bitwiseXOR(F.shiftright(t, 14)).cast("double") / F.lit(4294967296.0)
+    a, t, z = F.col("_m0"), F.col("_m1"), F.col("_m2")
+    return (
+        df.withColumn("_m0", (seed.cast("bigint").bitwiseAND(mask) + step.bitwiseAND(mask)).bitwiseAND(mask))
+        .withColumn("_m1", imul32(a.bitwiseXOR(F.shiftright(a, 15)), a.bitwiseOR(one)))
+        .withColumn("_m2", t.bitwiseXOR((t + imul32(t.bitwiseXOR(F.shiftright(t, 7)), t.bitwiseOR(sixty_one))).bitwiseAND(mask)))
+        .withColumn(name, z.bitwiseXOR(F.shiftright(z, 14)).cast("double") / F.lit(4294967296.0))
+        .drop("_m0", "_m1", "_m2")
+    )

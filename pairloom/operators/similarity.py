@@ -126,12 +126,15 @@ def similar_class_pairs(
     return between.unionByName(inside)
 
 
-def rare_name_pairs(profiles: DataFrame, max_df: int = K.MAX_DOCUMENT_FREQUENCY, min_surface: int = K.MIN_SURFACE) -> DataFrame:
+def rare_name_pairs(
+    profiles: DataFrame, max_df: int = K.MAX_DOCUMENT_FREQUENCY, min_surface: int = K.MIN_SURFACE, keep: Column | None = None
+) -> DataFrame:
     """Pairs sharing a surface name that at most ``max_df`` units use, with counts only.
 
     Columns: a, b, common (shared rare names) and, per side, lines, names, frequent (names too frequent to pair
     by) and mass (histogram total). The frequency bound is part of the operator, so a name yields at most
     max_df^2/2 pairs. The most frequent names leave through a bounded broadcast before the shuffle by name.
+    ``keep`` may reject pairs by their scalars inside the join.
     """
     mass = F.aggregate(F.map_values("shape"), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
     names = profiles.where(F.size("surface") >= min_surface).select(
@@ -146,7 +149,8 @@ def rare_name_pairs(profiles: DataFrame, max_df: int = K.MAX_DOCUMENT_FREQUENCY,
     left = postings.select("name", F.col("cid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in facts])
     right = postings.select("name", F.col("cid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
     sides = [f"{c}_{s}" for c in facts for s in ("a", "b")]
-    return left.join(right, "name").where(F.col("a") < F.col("b")).groupBy("a", "b", *sides).agg(F.count(F.lit(1)).alias("common"))
+    met = left.join(right, "name").where((F.col("a") < F.col("b")) & (F.lit(True) if keep is None else keep))
+    return met.groupBy("a", "b", *sides).agg(F.count(F.lit(1)).alias("common"))
 
 
 def decide(pairs: DataFrame, min_jaccard=K.MIN_JACCARD, min_size_ratio=K.MIN_SIZE_RATIO, min_score=K.MIN_SCORE, min_surface=K.MIN_SURFACE) -> DataFrame:
@@ -172,9 +176,13 @@ def decide(pairs: DataFrame, min_jaccard=K.MIN_JACCARD, min_size_ratio=K.MIN_SIZ
 FACTS = ["jaccard", "size_ratio", "surface_jaccard", "shape_similarity", "score"]
 
 
-def low_overlap_decisions(profiles: DataFrame, min_jaccard=K.MIN_JACCARD, min_size_ratio=K.MIN_SIZE_RATIO, min_score=K.MIN_SCORE) -> DataFrame:
+def low_overlap_decisions(
+    profiles: DataFrame, min_jaccard=K.MIN_JACCARD, min_size_ratio=K.MIN_SIZE_RATIO, min_score=K.MIN_SCORE, only_proposed: bool = False
+) -> DataFrame:
     """Every pair sharing a rare name with its reason; facts for the proposed ones.
 
+    With ``only_proposed`` the pairs that cannot be proposed by their sizes alone leave inside the join.
+
     ``profiles`` has cid, lines, items (shingle hashes), surface and shape. Most pairs are settled from counts:
     the line ratio, membership in the pairs of high overlap, or an upper bound of the score. Only the rest
     is joined with sets and histograms.
@@ -186,7 +194,10 @@ def low_overlap_decisions(profiles: DataFrame, min_jaccard=K.MIN_JACCARD, min_si
     ratio = M.size_ratio(F.col("lines_a"), F.col("lines_b"))
     most = F.least(F.col("common") + F.least("frequent_a", "frequent_b"), F.col("names_a"), F.col("names_b"))
     bound = (M.jaccard_counts(most, F.col("names_a"), F.col("names_b")) + M.size_ratio(F.col("mass_a"), F.col("mass_b"))) / F.lit(2.0)
-    counted = rare_name_pairs(profiles).select("a", "b", ratio.alias("size_ratio"), bound.alias("_bound"))
+    # Before names are counted, the smaller surface bounds what two units can share.
+    reachable = (M.size_ratio(F.col("names_a"), F.col("names_b")) + M.size_ratio(F.col("mass_a"), F.col("mass_b"))) / F.lit(2.0)
+    keep = (ratio >= min_size_ratio) & (reachable >= min_score - SLACK) if only_proposed else None
+    counted = rare_name_pairs(profiles, keep=keep).select("a", "b", ratio.alias("size_ratio"), bound.alias("_bound"))
     early = F.when(F.col("size_ratio") < min_size_ratio, "size_ratio").when(F.col("_close"), "high_overlap").when(F.col("_bound") < min_score - SLACK, "score")
     settled = cut_lineage(counted.join(close, ["a", "b"], "left").select("a", "b", "size_ratio", early.alias("reason")))
     open_pairs = attach(settled.where(F.col("reason").isNull()).drop("reason"), profiles.select("cid", "surface", "shape"))
@@ -205,7 +216,7 @@ def low_overlap_decisions(profiles: DataFrame, min_jaccard=K.MIN_JACCARD, min_si
 
 def low_overlap_pairs(profiles: DataFrame, **options) -> DataFrame:
     """Pairs with few common shingles but a common vocabulary and shape, with their facts."""
-    return low_overlap_decisions(profiles, **options).where(F.col("reason") == "proposed")
+    return low_overlap_decisions(profiles, only_proposed=True, **options).where(F.col("reason") == "proposed")
 
 
 def overlapping(a: str, b: str, columns: list[str]) -> Column:

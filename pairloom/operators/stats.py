@@ -136,17 +136,19 @@ def resample_weights(items: DataFrame, keys: list[str], order_by: list, resample
     """
     placed = ranked(items, keys, order_by, name="_at").withColumn("_at", F.col("_at") - 1)
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.first(seed).alias("_seed"))
-    tasks = sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))).repartition(*keys, "replicate")
-    # Draws are exploded in stretches, so one replicate of a large group is many rows before it is many draws.
+    # Draws are exploded in stretches, so one replicate of a large group is many rows before it is many draws. The
+    # number of partitions is explicit: by size alone the few rows before the explode would share one task.
     stretch = 4096
+    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     draws = (
-        tasks.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(stretch).cast("bigint"))))
-        .repartition(*keys, "replicate", "_from")
+        sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(stretch).cast("bigint"))))
+        .repartition(parts, *keys, "replicate", "_from")
         .withColumn("_j", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (stretch - 1), F.col("_n") - 1))))
     )
-    u = M.mulberry32(F.col("_seed"), F.col("replicate").cast("bigint") * F.col("_n") + F.col("_j"))
+    place = F.col("replicate").cast("bigint") * F.col("_n") + F.col("_j")
     weights = (
-        draws.withColumn("_at", F.floor(u * F.col("_n")).cast("bigint"))
+        M.with_mulberry32(draws, F.col("_seed"), place, "_u").withColumn("_at", F.floor(F.col("_u") * F.col("_n")).cast("bigint"))
         .groupBy(*keys, "replicate", "_at")
         .agg(F.count(F.lit(1)).alias("weight"))
     )

@@ -59,7 +59,7 @@ def mulberry(seed):
 def test_generator_is_a_counter(spark):
     for seed in (0, 1, 20260930, 4294967295):
         stream = mulberry(seed)
-        got = [r.u for r in spark.range(50).orderBy("id").select(M.mulberry32(F.lit(seed), F.col("id")).alias("u")).collect()]
+        got = [r.u for r in M.with_mulberry32(spark.range(50), F.lit(seed), F.col("id"), "u").orderBy("id").collect()]
         assert got == [next(stream) for _ in range(50)]
 
 
