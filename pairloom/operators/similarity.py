@@ -126,6 +126,14 @@ def similar_class_pairs(
     return between.unionByName(inside)
 
 
+def with_length_shape(df: DataFrame, key: str = "cid", tokens: str = "tokens") -> DataFrame:
+    """Add ``shape``, the histogram of token lengths, counted in map tasks; a unit has few distinct lengths."""
+    lengths = df.select(key, F.explode(tokens).alias("_t")).groupBy(key, F.length("_t").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    shape = lengths.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("shape"))
+    empty = F.map_from_arrays(F.array().cast("array<int>"), F.array().cast("array<bigint>"))
+    return df.join(shape, key, "left").withColumn("shape", F.coalesce("shape", empty))
+
+
 def rare_name_pairs(
     profiles: DataFrame, max_df: int = K.MAX_DOCUMENT_FREQUENCY, min_surface: int = K.MIN_SURFACE, keep: Column | None = None
 ) -> DataFrame:

@@ -95,16 +95,13 @@ LOW_SCORE = 0.45
 
 def profiles(spark, folder):
     """Clone pool with shingles, surface names and the token-length histogram as shape."""
-    pool = B.classes(spark, folder).where(F.col("lines") >= K.MIN_LINES)
+    return shaped(B.classes(spark, folder).where(F.col("lines") >= K.MIN_LINES))
+
+
+def shaped(classes):
     words = F.array_distinct(F.filter("tokens", lambda t: F.length(t) >= SURFACE_LENGTH))
-    lengths = F.transform("tokens", lambda t: F.length(t))
-    shape = F.map_from_entries(
-        F.transform(
-            F.array_sort(F.array_distinct(lengths)),
-            lambda n: F.struct(n.alias("k"), F.size(F.filter(lengths, lambda m: m == n)).alias("n")),
-        )
-    )
-    return pool.select("cid", "lines", "items", words.alias("surface"), shape.alias("shape"))
+    written = cut_lineage(classes.select("cid", "lines", "items", "tokens"))
+    return S.with_length_shape(written).select("cid", "lines", "items", words.alias("surface"), "shape")
 
 
 SQL_PROFILES = f"""{B.SQL_CLASSES},
@@ -284,14 +281,7 @@ FROM feat f LEFT JOIN c10 USING (a, b) LEFT JOIN c50 USING (a, b)""",
 def shape_similarity_pairs(spark, folder):
     """Histogram similarity of the similar pairs."""
     rows = B.similar(spark, folder).where(F.col("a") != F.col("b")).select("a", "b")
-    lengths = F.transform("tokens", lambda t: F.length(t))
-    shape = F.map_from_entries(
-        F.transform(
-            F.array_sort(F.array_distinct(lengths)),
-            lambda n: F.struct(n.alias("k"), F.size(F.filter(lengths, lambda m: m == n)).alias("n")),
-        )
-    )
-    joined = S.attach(rows, B.classes(spark, folder).select("cid", shape.alias("shape")))
+    joined = S.attach(rows, S.with_length_shape(B.classes(spark, folder).select("cid", "tokens")).select("cid", "shape"))
     return joined.select("a", "b", M.shape_similarity(F.col("shape_a"), F.col("shape_b")).alias("shape_similarity"))
 
 
