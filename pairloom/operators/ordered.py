@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairloom.session import cut_lineage
+from pairloom.session import cut_lineage, slice_count
 
 SLICE = "_slice"
 
@@ -24,7 +24,7 @@ def _column(c) -> Column:
 
 def slice_by_order(df: DataFrame, partition_by: list[str], order_by: list) -> DataFrame:
     """Range-partition on a total order and pin each row's slice number."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = slice_count(df.sparkSession)
     ranged = df.repartitionByRange(parts, *[F.col(c) for c in partition_by], *map(_column, order_by))
     # The slice bounds are sampled, so they are pinned before two queries read them.
     return cut_lineage(ranged.withColumn(SLICE, F.spark_partition_id()))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pairloom import constants as K
 from pairloom.functions import measures as M
 from pairloom.operators.ordered import ranked, running
-from pairloom.session import cut_lineage
+from pairloom.session import cut_lineage, slice_count
 
 WHOLE = "decimal(38,0)"
 
@@ -139,7 +139,7 @@ def resample_weights(items: DataFrame, keys: list[str], order_by: list, resample
     # Draws are exploded in stretches, so one replicate of a large group is many rows before it is many draws. The
     # number of partitions is explicit: by size alone the few rows before the explode would share one task.
     stretch = 4096
-    parts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = slice_count(items.sparkSession)
     draws = (
         sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
         .withColumn("_from", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(stretch).cast("bigint"))))

@@ -72,9 +72,11 @@ QUERIES["journal_chain_check"] = (
 
 
 def journal_lifecycle(spark, folder):
-    rows = log(spark, folder).select("seq", "unit_id", "type", "ts", "status")
-    last = rows.agg(F.max("ts").alias("m")).first()["m"]
-    marked = rows.withColumn("type", F.when((F.col("type") == "note") & (F.col("ts") > F.lit(last) - F.expr("INTERVAL 1 DAY")), "stopped").otherwise(F.col("type")))
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+    rows = log(spark, folder).select("seq", "unit_id", "type", us.alias("us"), "status")
+    last = rows.agg(F.max("us").alias("m")).first()["m"]
+    late = F.col("us") > last - 24 * 3600 * 1_000_000
+    marked = rows.withColumn("type", F.when((F.col("type") == "note") & late, "stopped").otherwise(F.col("type")))
     return J.lifecycle_violations(marked).select("seq", "unit_id", "type", "problem")
 
 
@@ -137,7 +139,7 @@ QUERIES["combined_accounting"] = (
 
 def wall_clock(spark, folder):
     """Per run: milliseconds from the first event to the last finished one."""
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     rows = plain_log(spark, folder).groupBy(F.col("run").cast("string").alias("run")).agg(
         F.min(us).alias("a"), F.max(F.when(F.col("type") == "finished", us)).alias("b")
     )

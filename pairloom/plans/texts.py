@@ -323,7 +323,7 @@ HALF_HOUR = 30 * 60 * 1_000_000
 
 
 def intervals(spark, folder):
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    us = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     return table(spark, folder, "events").select("user_id", "event_id", "event_type", us.alias("start"), (us + HALF_HOUR).alias("end"))
 
 

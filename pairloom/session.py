@@ -50,3 +50,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss, unlike a local one."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def slice_count(spark: SparkSession) -> int:
+    """Partitions for explicit repartitioning: the shuffle setting, in local mode no more than the cores."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    context = spark.sparkContext
+    return min(parts, context.defaultParallelism) if context.master.startswith("local") else parts
