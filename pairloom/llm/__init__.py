@@ -1 +1,10 @@
-"""Operators of a training-data pipeline. Nothing outside this package imports it but the driver entry."""
+"""Operators of a training-data pipeline. Nothing outside this package imports it but the driver entry.
+
+Functions that run in tasks are pickled by value, so executors need no copy of this package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -187,10 +187,7 @@ def identify_language(documents: DataFrame, model: Model | None, reject: float =
     docs = id_and_text(documents, id_col, text_col).select("doc_id", "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"))
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    sent = documents.sparkSession.sparkContext.broadcast(model)
-
     def run(batches):
-        model = sent.value
         for batch in batches:
             logits = score_texts(model, batch.column(1))
             probability, lead = _softmax(logits / model.temperature), _lead(logits)
