@@ -3,8 +3,9 @@
 Components become integers floor(scale * x). Vectors are range-partitioned by descending length and packed into
 blocks of ``BLOCK`` rows, so a block spans a narrow range of lengths. The rotation comes from the singular vectors of
 the whole corpus (eigenvectors of the summed products of components); it gathers most of a product in the first
-``HEAD`` coordinates. Queries are packed into blocks of ``QUERIES`` rows, and every query block meets every vector
-block; that is the stated query set against all rows, in blocks.
+``HEAD`` coordinates. Queries are packed into blocks of ``QUERIES_PER_BLOCK`` rows, and every query block meets every
+vector block; that is the stated query set against all rows, in blocks. Query blocks are broadcast, at most
+``SENT_BYTES`` at a time; a larger query set goes in several parts of that size.
 
 A query first meets the longest vectors (``SEED``, a fixed number), which gives a floor under its k-th best score.
 Then, for a query q and a vector v:
@@ -22,6 +23,8 @@ smaller id; fewer than k candidates give fewer rows; empty tables give no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,6 +36,7 @@ from pairloom.session import cut_lineage
 SCALE = 1024
 BLOCK = 4096
 QUERIES_PER_BLOCK = 512
+SENT_BYTES = 64 << 20
 SEED = 4096
 HEAD = 16
 
@@ -176,10 +180,15 @@ def top_k_inner(
     seed = (seed.column(0).to_numpy(), _matrix(seed.column(1).combine_chunks(), width))
     packed = "ids binary, rows binary, m binary, longest double"
     blocks = rows.select("id", "row", "v").mapInArrow(_pack(BLOCK, width), packed)
-    queries = rows.where(is_query).select("id", "row", "v").mapInArrow(_pack(QUERIES_PER_BLOCK, width), packed)
+    asked = rows.where(is_query).select("id", "row", "v")
+    n_queries = asked.count()
+    queries = asked.repartition(max(1, -(-n_queries // QUERIES_PER_BLOCK))).mapInArrow(_pack(QUERIES_PER_BLOCK, width), packed)
     with_floor = queries.select("ids", "rows", "m").mapInArrow(_floors(seed, width, k), "q_ids binary, q_rows binary, q_m binary, floors binary")
-    met = with_floor.crossJoin(blocks.select("ids", "rows", "m"))
-    found = met.mapInArrow(_search(basis, width, head, k), "query_id long, q_row long, vec_id long, v_row long, score long")
+    parts = max(1, -(-n_queries * (width + 3) * 8 // SENT_BYTES))
+    with_floor = cut_lineage(with_floor)
+    sent = (with_floor.where(F.pmod(F.xxhash64("q_rows"), F.lit(parts)) == i) for i in range(parts))
+    met = reduce(DataFrame.unionByName, (blocks.select("ids", "rows", "m").crossJoin(F.broadcast(part)) for part in sent))
+    found = met.select("q_ids", "q_rows", "q_m", "floors", "ids", "rows", "m").mapInArrow(_search(basis, width, head, k), "query_id long, q_row long, vec_id long, v_row long, score long")
     ranked = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id", "v_row")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
