@@ -125,26 +125,58 @@ def contained_items(
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _MATCHES)
 
 
+def keep_clean(
+    documents: DataFrame,
+    items: DataFrame,
+    share: float = SHARE,
+    width: int = SHINGLE,
+    block_shingles: int = BLOCK_SHINGLES,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text: str = "text",
+) -> DataFrame:
+    """The rows of documents, with all their columns, that contain no item; each block of items is a filter."""
+    prepared = cut_lineage(item_shingles(items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")), width))
+    text, kept = documents.columns.index(text_col), documents
+    for block in _blocks(prepared, block_shingles):
+        kept = kept.mapInArrow(_sift(documents.sparkSession.sparkContext.broadcast(_pack(block, share)), share, text), documents.schema)
+    return kept
+
+
+def _sift(sent, share: float, text: int):
+    def run(batches):
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for row, *_ in _matches(sent.value, batch.column(text), share)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
+
+
+def _matches(packed, column, share: float):
+    """(row, item, its shingles, found) of every containment in a text column."""
+    for group in W.iter_words(column, W.ALNUM):
+        for width, names, sizes, sketch, owner, every, owners in packed:
+            hashes = W.windows(group.hashes, width)
+            low = np.minimum(np.searchsorted(sketch, hashes), len(sketch) - 1)
+            touched = np.flatnonzero(sketch[low] == hashes)
+            row_of = np.searchsorted(group.bounds, touched, "right") - 1
+            inside = touched + width <= group.bounds[row_of + 1]
+            for r in np.unique(row_of[inside]):
+                found = np.unique(hashes[group.bounds[r] : group.bounds[r + 1] - width + 1])
+                candidates = np.unique(_hits(sketch, owner, found))
+                counts = np.bincount(_hits(every, owners, found), minlength=len(names))
+                for c in candidates[counts[candidates] >= needed(sizes[candidates], share)]:
+                    yield group.first + int(r), names[c], int(sizes[c]), int(counts[c])
+
+
 def _probe(sent, share: float):
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "item_id", "n_item", "n_found")])
 
     def run(batches):
-        packed = sent.value
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for group in W.iter_words(batch.column(1), W.ALNUM):
-                for width, names, sizes, sketch, owner, every, owners in packed:
-                    hashes = W.windows(group.hashes, width)
-                    low = np.minimum(np.searchsorted(sketch, hashes), len(sketch) - 1)
-                    touched = np.flatnonzero(sketch[low] == hashes)
-                    row_of = np.searchsorted(group.bounds, touched, "right") - 1
-                    inside = touched + width <= group.bounds[row_of + 1]
-                    for r in np.unique(row_of[inside]):
-                        found = np.unique(hashes[group.bounds[r] : group.bounds[r + 1] - width + 1])
-                        candidates = np.unique(_hits(sketch, owner, found))
-                        counts = np.bincount(_hits(every, owners, found), minlength=len(names))
-                        for c in candidates[counts[candidates] >= needed(sizes[candidates], share)]:
-                            rows.append((ids[group.first + r], names[c], int(sizes[c]), int(counts[c])))
+            ids = batch.column(0).to_pylist()
+            rows = [(ids[row], *rest) for row, *rest in _matches(sent.value, batch.column(1), share)]
             columns = list(zip(*rows)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
 

@@ -182,26 +182,52 @@ def score_texts(model: Model, column) -> np.ndarray:
     return total / np.maximum(1, counts)[:, None] + model.bias
 
 
+def _decide(model: Model, column, letters: np.ndarray, reject: float):
+    """Best language number, score and rejection of each text."""
+    logits = score_texts(model, column)
+    probability, lead = _softmax(logits / model.temperature), _lead(logits)
+    score = np.where(letters, probability.max(1, initial=0), 0.0)
+    return probability.argmax(1), score, ~letters | (score < reject) | (lead < model.least_lead)
+
+
+def _has_letter(text_col: str):
+    return F.coalesce(F.col(text_col).rlike("\\p{L}"), F.lit(False))
+
+
 def identify_language(documents: DataFrame, model: Model | None, reject: float = REJECT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row."""
-    docs = id_and_text(documents, id_col, text_col).select("doc_id", "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"))
+    docs = id_and_text(documents, id_col, text_col).select("doc_id", "text", _has_letter("text").alias("letters"))
     if model is None:
         return docs.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+
     def run(batches):
         for batch in batches:
-            logits = score_texts(model, batch.column(1))
-            probability, lead = _softmax(logits / model.temperature), _lead(logits)
             letters = np.asarray(batch.column(2).to_numpy(zero_copy_only=False), bool)
-            best, score = probability.argmax(1), np.where(letters, probability.max(1, initial=0), 0.0)
+            best, score, rejected = _decide(model, batch.column(1), letters, reject)
             names = [model.languages[b] if ok else "und" for b, ok in zip(best, letters)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(~letters | (score < reject) | (lead < model.least_lead))],
-                names=["doc_id", "lang_pred", "score", "rejected"],
+                [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"]
             )
 
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def keep_identified(documents: DataFrame, model: Model | None, reject: float = REJECT, text_col: str = "text") -> DataFrame:
+    """The rows of documents, with all their columns, that are not rejected."""
+    if model is None:
+        return documents.limit(0)
+    text, width = documents.columns.index(text_col), len(documents.columns)
+
+    def run(batches):
+        for batch in batches:
+            letters = np.asarray(batch.column(width).to_numpy(zero_copy_only=False), bool)
+            _, _, rejected = _decide(model, batch.column(text), letters, reject)
+            kept = batch.filter(pa.array(~rejected))
+            yield pa.RecordBatch.from_arrays(kept.columns[:width], names=kept.schema.names[:width])
+
+    return documents.withColumn("_letters_of_" + text_col, _has_letter(text_col)).mapInArrow(run, documents.schema)
+
+
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     documents = read(spark, folder, "documents")
     found = identify_language(documents, fit_language_model(documents))

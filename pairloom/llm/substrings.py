@@ -218,7 +218,7 @@ def repeated_windows(documents: DataFrame, window: int = WINDOW, id_col: str = "
     return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match_windows, _CUTS_SQL)
 
 
-def removed_intervals(cuts: DataFrame, window: int = WINDOW) -> DataFrame:
+def removed_intervals(cuts: DataFrame) -> DataFrame:
     """(doc_id, text_key, cuts array<struct<start, n>>): all runs of a document; a document's runs are bounded by its words."""
     return cuts.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "n")).alias("cuts"))
 
@@ -232,38 +232,62 @@ def _removed_words(n_words: int, cuts, window: int) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _kept_rows(texts, cut_lists, window: int):
+    """(words, removed words, maximal removed intervals, kept words joined by one space) of each text of a column."""
+    raw, bounds = W.text_buffer(texts)
+    for group in W.iter_words(texts, W.VISIBLE, W.SAME):
+        base = int(bounds[group.first])
+        for i in range(group.rows):
+            a, b = group.bounds[i], group.bounds[i + 1]
+            gone = _removed_words(int(b - a), cut_lists[group.first + i].as_py(), window)
+            starts, ends = group.starts[a:b] + base, group.ends[a:b] + base
+            kept = b" ".join(raw[s:e].tobytes() for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist()))
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+            yield int(b - a), int(gone.sum()), edge.reshape(-1, 2).tolist(), kept
+
+
+def _joined_cuts(documents: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
+    """Documents with all their columns, then the removed runs of each."""
+    cuts = removed_intervals(repeated_windows(documents, window, id_col, text_col)).select(
+        F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"), F.col("cuts").alias("_cuts")
+    )
+    same = (F.col(id_col).cast("long") == F.col("_cut_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_cut_key"))
+    return documents.join(cuts, same, "left").drop("_cut_id", "_cut_key")
+
+
 def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_removed, removed, kept_text) of every row; removed lists maximal intervals of words [from, to).
+    """(doc_id, n_words, n_removed, removed, kept_sha256) of every row; removed lists maximal intervals of words [from, to)."""
+    docs = _joined_cuts(id_and_text(documents, id_col, text_col), window, "doc_id", "text")
 
-    kept_text is the unchanged text where nothing is removed, else the kept words joined by one space; null stays null.
-    kept_sha256 is of the kept words joined by one space in either case.
-    """
-    docs = id_and_text(documents, id_col, text_col).withColumn("text_key", F.xxhash64("text"))
-    cuts = removed_intervals(repeated_windows(documents, window, id_col, text_col), window)
-    joined = docs.join(cuts, ["doc_id", "text_key"], "left").select("doc_id", "text", "cuts")
+    def run(batches):
+        for batch in batches:
+            rows = [(n, gone, cuts, hashlib.sha256(kept).hexdigest()) for n, gone, cuts, kept in _kept_rows(batch.column(1), batch.column(2), window)]
+            columns = list(zip(*rows)) or [[]] * 4
+            types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_words", "n_removed", "removed", "kept_sha256"]
+            )
+
+    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept_sha256 string")
+
+
+def without_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents with all their columns and the kept text: unchanged where nothing is removed, else the kept words joined
+    by one space. A null text stays null."""
+    docs, text, width = _joined_cuts(documents, window, id_col, text_col), documents.columns.index(text_col), len(documents.columns)
 
     def run(batches):
         for batch in batches:
-            raw, bounds = W.text_buffer(batch.column(1))
-            given = batch.column(1).is_null().to_pylist()
-            cut_lists, out = batch.column(2), []
-            for group in W.iter_words(batch.column(1), W.VISIBLE, W.SAME):
-                base = int(bounds[group.first])
-                for i in range(group.rows):
-                    row, a, b = group.first + i, group.bounds[i], group.bounds[i + 1]
-                    gone = _removed_words(int(b - a), cut_lists[row].as_py(), window)
-                    starts, ends = group.starts[a:b] + base, group.ends[a:b] + base
-                    kept = b" ".join(raw[s:e].tobytes() for s, e in zip(starts[~gone].tolist(), ends[~gone].tolist()))
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    text = None if given[row] else kept if gone.any() else raw[bounds[row] : bounds[row + 1]].tobytes()
-                    out.append((int(b - a), int(gone.sum()), edge.reshape(-1, 2).tolist(), text, hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*out)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string())
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            arrays[3] = arrays[3].cast(pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["doc_id", "n_words", "n_removed", "removed", "kept_text", "kept_sha256"])
-
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept_text string, kept_sha256 string")
+            own, cuts = batch.column(text), batch.column(width)
+            cut = np.flatnonzero(np.asarray(cuts.is_valid()))
+            new = own.to_pylist()
+            for row, (*_, kept) in zip(cut.tolist(), _kept_rows(own.take(pa.array(cut)), cuts.take(pa.array(cut)), window)):
+                new[row] = kept.decode()
+            columns = list(batch.columns[:width])
+            columns[text] = pa.array(new, own.type)
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
+
+    return docs.mapInArrow(run, documents.schema)
 
 
 def op8(spark: SparkSession, folder: str) -> DataFrame:
