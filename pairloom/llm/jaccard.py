@@ -1,10 +1,12 @@
 """N-gram Jaccard join by filters under several global token orders.
 
 Two documents link when 100 * |common| >= per_cent * |union| of their distinct word shingles. Under any one order of
-all shingles, linked documents share one of their first ``n - ceil(n * per_cent / 100) + 1`` shingles, so a pair may
-be dropped as soon as one order's prefixes do not meet. Three orders are used:
+all shingles, linked documents share k of their first ``n - ceil(n * per_cent / 100) + k`` shingles, for any k, so a
+pair may be dropped as soon as one order's prefixes do not meet. Three orders are used:
 
-* by hash: one pass finds the documents whose prefix meets that of another set at all; most of a corpus ends here;
+* by hash, with prefixes of about twice the least length: one pass counts how many prefix shingles of a set stand in
+  the prefix of another, and sets with too few, by the least k a partner of fitting size can have, end here. A common
+  passage is not enough to stay, so most of a corpus ends here;
 * by document frequency among those left, rarest first: its prefixes are the index that proposes pairs. Shingles of
   passages that many documents share come last and propose nothing unless a document is little else;
 * by a second hash: pairs proposed by the index must also share prefix shingles in both hash orders.
@@ -17,8 +19,9 @@ Components need no link inside one component twice, so the members of an index b
 components are verified, those of the largest component of a bucket only against the others. A bucket of any size
 costs about its size unless its members truly differ, and no link between components is missed.
 
-Before the first shuffle a map task settles shingles it has seen in two sets, so a frequent shingle is sent once a
-task. Joins are of checkpointed sides that Spark splits where a key is hot.
+Before the first shuffle a map task counts shingles it has seen in two sets itself, so a frequent shingle is sent once
+a task. Texts are not shuffled where the ids of the sets left are few enough to be broadcast (``tables.SENT_IDS``).
+Joins are of checkpointed sides that Spark splits where a key is hot.
 
 Defined cases: null or empty texts have the empty set and are alone; fewer words than a shingle make one shingle; a
 row without id has no component; rows of one id are one document, whatever their texts, and linked by it; an empty
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import words as W
 from pairloom.llm.components import connected_components
-from pairloom.llm.tables import id_and_text, read
+from pairloom.llm.tables import SENT_IDS, id_and_text, one_row_per_id, read
 from pairloom.session import cut_lineage
 
 SHINGLE = 4
@@ -76,8 +79,8 @@ def _signatures(width: int):
 
 
 def _prefix_rows(width: int, per_cent: int):
-    """(token, s1, shared): prefix tokens by hash order. A token seen in two sets by this task is sent once; its sets
-    go on as shared rows."""
+    """(token, s1, known): tokens of the long prefix by hash order. known is 0 for a token that one set of this task
+    has, -1 for one that several have, sent for one of them; those sets' own count goes as a row with known above 0."""
 
     def flush(tokens, sets):
         token, owner = np.concatenate(tokens), np.concatenate(sets)
@@ -86,13 +89,14 @@ def _prefix_rows(width: int, per_cent: int):
         fresh = np.concatenate([[True], (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])])
         token, owner = token[fresh], owner[fresh]
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        several = np.diff(np.append(head, len(token))) > 1
-        known = np.unique(owner[np.repeat(several, np.diff(np.append(head, len(token))))])
-        # Sets known to be shared have no question left; one of them stands for the token.
-        sent_token = np.concatenate([token[head], known.view(np.uint64)])
-        sent_owner = np.concatenate([owner[head], known])
-        shared = np.concatenate([np.zeros(len(head), bool), np.ones(len(known), bool)])
-        return pa.RecordBatch.from_arrays([pa.array(sent_token.view(np.int64)), pa.array(sent_owner), pa.array(shared)], names=["token", "s1", "shared"])
+        holders = np.diff(np.append(head, len(token)))
+        counted, times = np.unique(owner[np.repeat(holders > 1, holders)], return_counts=True)
+        columns = (
+            np.concatenate([token[head], counted.view(np.uint64)]).view(np.int64),
+            np.concatenate([owner[head], counted]),
+            np.concatenate([np.where(holders > 1, -1, 0), times]).astype(np.int32),
+        )
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "s1", "known"])
 
     def run(batches):
         tokens, sets, held = [], [], 0
@@ -100,7 +104,7 @@ def _prefix_rows(width: int, per_cent: int):
             for group in W.iter_words(batch.column(0)):
                 for own in W.shingle_sets(group, width):
                     if len(own):
-                        tokens.append(own[: _prefix(len(own), per_cent)])
+                        tokens.append(own[: 2 * _prefix(len(own), per_cent) - 1])
                         sets.append(np.full(len(tokens[-1]), _identity(own)[0], np.int64))
                         held += len(tokens[-1])
                 if held >= FLUSH:
@@ -112,37 +116,43 @@ def _prefix_rows(width: int, per_cent: int):
     return run
 
 
-def _meeting_sets(batches):
-    """Sets that share a token with another set, from rows sorted by token."""
-    last_token, last_set = None, None
-    for batch in batches:
-        token, owner, shared = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        out = [owner[shared]]
-        token, owner = token[~shared], owner[~shared]
+def _shared_counts(batches):
+    """(s1, n): prefix tokens a set shares, from rows sorted by token; a set in several tasks may be counted more often."""
+
+    def settle(token, owner, known):
+        counted, times = owner[known > 0], known[known > 0].astype(np.int64)
+        token, owner, known = token[known <= 0], owner[known <= 0], known[known <= 0]
         if len(token):
-            if last_token is not None:
-                token, owner = np.concatenate([[last_token], token]), np.concatenate([[last_set], owner])
             head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            differs = np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)
-            out.append(owner[np.repeat(differs, np.diff(np.append(head, len(token))))])
-            last_token, last_set = token[-1], owner[-1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)).astype(np.int64))], names=["s1"])
+            shared = (np.minimum.reduceat(owner, head) != np.maximum.reduceat(owner, head)) | (np.minimum.reduceat(known, head) < 0)
+            own = owner[np.repeat(shared, np.diff(np.append(head, len(token)))) & (known == 0)]
+            counted, times = np.concatenate([counted, own]), np.concatenate([times, np.ones(len(own), np.int64)])
+        sets, inverse = np.unique(counted, return_inverse=True)
+        n = np.bincount(inverse, weights=times, minlength=len(sets)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sets.astype(np.int64)), pa.array(n)], names=["s1", "n"])
+
+    rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+    for batch in batches:
+        rest = [np.concatenate([old, batch.column(i).to_numpy()]) for i, old in enumerate(rest)]
+        whole = int(np.searchsorted(rest[0], rest[0][-1])) if len(rest[0]) else 0  # the last token may go on
+        if whole:
+            yield settle(*(x[:whole] for x in rest))
+            rest = [x[whole:] for x in rest]
+    yield settle(*rest)
 
 
 def _sets(width: int, per_cent: int):
-    """Rows (doc_id, text, s1) sorted by id to whole sets in hash order, once for each id and set, with the second prefix."""
+    """Rows (doc_id, text, s1) to whole sets in hash order with the second prefix, where the text has the set s1."""
 
     def run(batches):
-        before = None
         for batch in batches:
             ids, wanted, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
             for group in W.iter_words(batch.column(1)):
                 for i, own in enumerate(W.shingle_sets(group, width)):
                     row = group.first + i
-                    if _identity(own)[0] == wanted[row] and ids[row] != before:
-                        before = ids[row]
+                    if _identity(own)[0] == wanted[row]:
                         second = own[np.argsort(W.mix(own ^ _SECOND), kind="stable")][: _prefix(len(own), per_cent)]
-                        rows.append((before, len(own), own.view(np.int64), second.view(np.int64)))
+                        rows.append((ids[row], len(own), own.view(np.int64), second.view(np.int64)))
             columns = list(zip(*rows)) or [[]] * 4
             types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "n", "tokens", "second"])
@@ -156,9 +166,9 @@ def _first(n: Column, per_cent: int) -> Column:
 
 def _index(sets: DataFrame, per_cent: int) -> DataFrame:
     """(token, id, n): prefix tokens, rarest first, of sets that can have a partner. A token of one set takes a place only."""
-    rows = sets.select("id", "n", F.explode("tokens").alias("token"))
+    rows = sets.select("id", F.explode("tokens").alias("token"))
     often = cut_lineage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
-    known = rows.join(often, "token").groupBy("id").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    known = rows.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).join(sets.select("id", "n"), "id")
     places = _first(F.col("n"), per_cent) - (F.col("n") - F.size("t")).cast("int")
     chosen = known.withColumn("places", places).where("places > 0")
     return cut_lineage(chosen.select("id", "n", F.explode(F.expr("transform(slice(t, 1, places), x -> x.token)")).alias("token")))
@@ -229,15 +239,20 @@ def similar_documents(
     docs = id_and_text(documents, id_col, text_col)
     signed = cut_lineage(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, s1 long, s2 long"))
     named = signed.where("doc_id is not null and n_shingles > 0")
-    classes = cut_lineage(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep")))
-
-    prefixes = docs.where("doc_id is not null and text is not null").select("text").mapInArrow(_prefix_rows(width, per_cent), "token long, s1 long, shared boolean")
-    meeting = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_meeting_sets, "s1 long").distinct()
-    held = cut_lineage(classes.join(meeting, "s1").select(F.col("rep").alias("doc_id"), "s1"))
-    texts = docs.where("doc_id is not null and text is not null").join(held.hint("merge"), "doc_id").select("doc_id", "text", "s1")
+    classes = cut_lineage(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+
+    some = docs.where("doc_id is not null and text is not null")
+    prefixes = some.select("text").mapInArrow(_prefix_rows(width, per_cent), "token long, s1 long, known int")
+    shared = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_counts, "s1 long, n long").groupBy("s1").agg(F.sum("n").alias("shared"))
+    enough = F.ceil(F.col("n") * per_cent / 100)  # of the shortest partner, whose least k holds
+    left = classes.join(shared, "s1").where(F.col("shared") >= enough - F.ceil(enough * per_cent / 100) + 1)
+    held = cut_lineage(left.select(F.col("rep").alias("held_id"), "s1"))
+    sent = F.broadcast(held) if held.count() <= SENT_IDS else held
+    texts = some.join(sent, F.col("doc_id") == F.col("held_id")).select("doc_id", "text", "s1")
     sets = cut_lineage(texts.mapInArrow(_sets(width, per_cent), "id long, n long, tokens array<long>, second array<long>"))
+    sets = one_row_per_id(sets, "id")
 
-    member = cut_lineage(named.join(classes, ["s1", "s2"]).select("doc_id", "n_shingles", "rep"))
+    member = cut_lineage(named.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "n_shingles", "rep"))
     own = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     one_id = member.join(cut_lineage(own), "doc_id").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
     links = [*links_between(sets, per_cent), cut_lineage(one_id)]
