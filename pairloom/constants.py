@@ -5,6 +5,7 @@ MIN_LINES = 8
 MIN_JACCARD = 0.45
 MIN_SIZE_RATIO = 0.5
 MAX_CANDIDATES = 2000
+MAX_COMPARISONS = 500_000
 LOW_OVERLAP_CAP = 50
 MIN_SCORE = 0.6
 MIN_SURFACE = 3

@@ -96,8 +96,19 @@ def overlap_share(words: Column, body_words: Column) -> Column:
 
 def secret_kinds(text: Column) -> Column:
     """Numbers of the credential patterns that match, 1-based; the last one is the URL form."""
-    hits = [F.when(text.rlike(p), F.lit(i)) for i, p in enumerate(K.SECRET_PATTERNS, 1)]
-    hits.append(F.when(text.rlike(K.URL_CREDENTIAL), F.lit(len(K.SECRET_PATTERNS) + 1)))
+    # A pattern runs only on texts that hold a literal without which it cannot match.
+    low = F.lower(text)
+    holds = lambda source, *parts: reduce(lambda a, b: a | b, (F.contains(source, F.lit(p)) for p in parts))
+    may = [
+        holds(low, "-----begin"),
+        holds(low, "key", "password", "secret", "token"),
+        holds(low, "gh", "sk-", "akia"),
+        holds(text, "k_live_"),
+        holds(text, "xox"),
+        holds(text, "eyJ"),
+        holds(text, "://"),
+    ]
+    hits = [F.when(m & text.rlike(p), F.lit(i)) for i, (m, p) in enumerate(zip(may, (*K.SECRET_PATTERNS, K.URL_CREDENTIAL)), 1)]
     return F.array_compact(F.array(*hits))
 
 

@@ -155,6 +155,40 @@ def resample_weights(items: DataFrame, keys: list[str], order_by: list, resample
     return weights.join(placed, [*keys, "_at"]).drop("_at")
 
 
+def resample_cells(items: DataFrame, keys: list[str], cell: list[str], resamples: int, seed: Column) -> DataFrame:
+    """How often each cell of equal items is drawn in each resample: (keys, cell columns, replicate, weight).
+
+    Items stand in the order of the cell columns, so a drawn position falls into a cell by the cells' first positions,
+    found by bisection in an array of as many numbers as a group has cells. Draws are counted by cell in the task that
+    makes them; no draw is joined or shuffled. Cells are few (scores in hundredths and a label); items may be many.
+    """
+    cells = items.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_items"))
+    placed = cut_lineage(running(cells, keys, cell, sums={"_upto": F.col("_items")}).withColumn("_first", F.col("_upto") - F.col("_items")))
+    sizes = cut_lineage(
+        placed.groupBy(*keys).agg(F.sum("_items").alias("_n"), F.sort_array(F.collect_list("_first")).alias("_starts")).withColumn("_seed", seed)
+    )
+    most = sizes.agg(F.max(F.size("_starts"))).first()[0] or 1
+    stretch = 4096
+    draws = (
+        sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+        .withColumn("_turns", F.ceil(F.col("_n") / stretch).cast("int"))
+        .withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
+        .repartition(slice_count(items.sparkSession), *keys, "replicate", "_turn")
+        .withColumn("_from", F.col("_turn").cast("bigint") * stretch)
+        .withColumn("_j", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (stretch - 1), F.col("_n") - 1))))
+    )
+    drawn = M.with_mulberry32(draws, F.col("_seed"), F.col("replicate").cast("bigint") * F.col("_n") + F.col("_j"), "_u")
+    drawn = drawn.withColumn("_at", F.floor(F.col("_u") * F.col("_n")).cast("bigint")).withColumn("_cell", F.lit(1))
+    step = 1 << (most.bit_length() - 1)
+    while step:
+        further = F.col("_cell") + step
+        below = F.coalesce(F.try_element_at("_starts", further) <= F.col("_at"), F.lit(False))
+        drawn = drawn.withColumn("_cell", F.when(below, further).otherwise(F.col("_cell")))
+        step >>= 1
+    weights = drawn.withColumn("_first", F.element_at("_starts", F.col("_cell"))).groupBy(*keys, "replicate", "_first").agg(F.count(F.lit(1)).alias("weight"))
+    return weights.join(placed.select(*keys, *cell, "_first"), [*keys, "_first"]).drop("_first")
+
+
 def _at_index(values: DataFrame, keys: list[str], value: str, low: Column, high: Column) -> DataFrame:
     """Values at two 0-based positions of each group's sorted list."""
     ordered = ranked(values.where(F.col(value).isNotNull()), keys, [value, "replicate"], name="_r")
@@ -182,8 +216,14 @@ def percentile_interval_strict(values: DataFrame, keys: list[str], value: str) -
     return out.select(*keys, "draws", *[F.when(n >= 20, F.col(c)).alias(c) for c in ("lo", "hi")])
 
 
-def bootstrap_auc(df: DataFrame, keys: list[str], score: str, label: str, order_by: list, resamples: int, seed: Column) -> DataFrame:
-    """AUC of every resample of rows: (keys, replicate, auc), null with one class."""
+def bootstrap_auc(df: DataFrame, keys: list[str], score: str, label: str, resamples: int, seed: Column) -> DataFrame:
+    """AUC of every resample of rows in order of label and score: (keys, replicate, auc), null with one class."""
+    weighted = resample_cells(df, keys, [label, score], resamples, seed)
+    return auc(weighted, [*keys, "replicate"], score, label, weight=F.col("weight")).select(*keys, "replicate", "auc")
+
+
+def bootstrap_auc_in_order(df: DataFrame, keys: list[str], score: str, label: str, order_by: list, resamples: int, seed: Column) -> DataFrame:
+    """The same of rows in a given order, which gives groups of the same items the same draws."""
     weighted = resample_weights(df.select(*keys, score, label, *order_by), keys, order_by, resamples, seed)
     return auc(weighted, [*keys, "replicate"], score, label, weight=F.col("weight")).select(*keys, "replicate", "auc")
 

@@ -117,7 +117,7 @@ def contrast_difference(spark, folder):
         (F.max(F.when(F.col("scorer") == "hash", F.col("auc"))) - F.max(F.when(F.col("scorer") == "lines", F.col("auc")))).alias("value")
     )
     # Equal seeds and order give both scorers the same draws.
-    draws = S.bootstrap_auc(rows, ["lang", "scorer"], "score", "quality", ["id"], P.RESAMPLES, F.lit(K.BOOTSTRAP_SEED))
+    draws = S.bootstrap_auc_in_order(rows, ["lang", "scorer"], "score", "quality", ["id"], P.RESAMPLES, F.lit(K.BOOTSTRAP_SEED))
     paired = draws.groupBy("lang", "replicate").agg(
         (F.max(F.when(F.col("scorer") == "hash", F.col("auc"))) - F.max(F.when(F.col("scorer") == "lines", F.col("auc")))).alias("difference")
     )
@@ -128,7 +128,7 @@ def contrast_difference(spark, folder):
 
 QUERIES["contrast_difference"] = (
     contrast_difference,
-    f"""WITH {P.SQL_CONTRAST}, df AS (SELECT lang, replicate, max(auc) FILTER (WHERE scorer = 'hash') - max(auc) FILTER (WHERE scorer = 'lines') AS difference FROM ba GROUP BY 1, 2),
+    f"""WITH {P.SQL_CONTRAST_PAIRED}, df AS (SELECT lang, replicate, max(auc) FILTER (WHERE scorer = 'hash') - max(auc) FILTER (WHERE scorer = 'lines') AS difference FROM ba GROUP BY 1, 2),
 ii AS ({P.sql_interval('df', 'lang', 'difference', *P.LOOSE)}), pv AS (SELECT lang, max(auc) FILTER (WHERE scorer = 'hash') - max(auc) FILTER (WHERE scorer = 'lines') AS value FROM pt GROUP BY lang)
 SELECT lang, value, draws, lo, hi, CASE WHEN lo > 0 THEN 'score_ahead' WHEN hi < 0 THEN 'baseline_ahead' ELSE 'no_detectable_difference' END AS verdict FROM pv JOIN ii USING (lang)""",
 )

@@ -47,7 +47,7 @@ SELECT lang, a, b, jaccard, p, CAST(row_number() OVER (PARTITION BY lang ORDER B
   ELSE 'below' END AS band FROM r""",
 )
 
-CANDIDATE_CAP = 100
+CANDIDATE_CAP = K.MAX_CANDIDATES
 
 
 def pair_omissions(spark, folder):
@@ -63,7 +63,7 @@ SELECT a, b, CAST(pairs AS BIGINT) AS pairs, CAST(rank AS BIGINT) AS rank,
   CASE WHEN rank <= {CANDIDATE_CAP} THEN 'kept' ELSE 'candidate_limit' END AS disposition FROM r""",
 )
 
-COMPARISON_BUDGET = 50_000
+COMPARISON_BUDGET = K.MAX_COMPARISONS
 
 
 def comparison_budget(spark, folder):
@@ -89,8 +89,7 @@ SELECT lang, CAST(pool AS BIGINT) AS pool, CAST(pool * (pool - 1) // 2 AS BIGINT
 # --- second source: shared vocabulary ---------------------------------------------------------------
 
 SURFACE_LENGTH = 4
-# Prose shares fewer names than code does, so the score asked of it is lower than the default.
-LOW_SCORE = 0.45
+LOW_SCORE = K.MIN_SCORE
 
 
 def profiles(spark, folder):
@@ -194,42 +193,53 @@ UNION ALL SELECT a, b, jaccard, 'shared_surface_not_semantic_equivalence' FROM d
 
 # --- clusters ---------------------------------------------------------------------------------------
 
+def _class_clusters(spark, folder):
+    """(cid, copies, cluster) of classes that are similar to another or hold copies, and the edges between classes."""
+    edges = cut_lineage(B.similar(spark, folder).select("a", "b"))
+    links = edges.where(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    members = connected_components(links)
+    own = B.classes(spark, folder).where(F.size("items") > 0).select("cid", "copies").join(members, F.col("cid") == F.col("member"), "left")
+    found = own.where(F.col("member").isNotNull() | (F.col("copies") > 1)).select("cid", "copies", F.coalesce("cluster", "cid").alias("cluster"))
+    return cut_lineage(found), links
+
+
 def similarity_clusters(spark, folder):
-    """Connected components of similar classes, long form: one row per member."""
-    edges = B.similar(spark, folder).where(F.col("a") != F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return connected_components(edges)
+    """Connected components of similar units, long form: one row per unit, exact copies included."""
+    clusters, _ = _class_clusters(spark, folder)
+    written = cut_lineage(B.units(spark, folder).select("id", F.xxhash64("tokens").alias("key"), "lines"))
+    first = written.groupBy("key", "lines").agg(F.min("id").alias("cid"))
+    members = written.join(first, ["key", "lines"]).select(F.col("id").alias("member"), "cid")
+    return members.join(clusters, "cid").select("member", "cluster")
 
 
+_SQL_CLASS_CLUSTERS = f"""WITH RECURSIVE {B.SQL_CLASS_PAIRS},
+e AS (SELECT a AS u, b AS v FROM sims WHERE a <> b UNION ALL SELECT b, a FROM sims WHERE a <> b),
+reach(member, other) AS (SELECT u, u FROM e UNION SELECT r.member, e.v FROM reach r JOIN e ON e.u = r.other),
+m AS (SELECT member, min(other) AS cluster FROM reach GROUP BY member
+  UNION ALL SELECT cid, cid FROM classes WHERE copies > 1 AND len(items) > 0 AND cid NOT IN (SELECT u FROM e))"""
 QUERIES["similarity_clusters"] = (
     similarity_clusters,
-    f"""WITH RECURSIVE {B.SQL_CLASS_PAIRS},
-e AS (SELECT a AS u, b AS v FROM sims WHERE a <> b UNION ALL SELECT b, a FROM sims WHERE a <> b),
-reach(member, other) AS (SELECT u, u FROM e UNION SELECT r.member, e.v FROM reach r JOIN e ON e.u = r.other)
-SELECT member, min(other) AS cluster FROM reach GROUP BY member""",
+    f"{_SQL_CLASS_CLUSTERS} SELECT u.id AS member, cluster FROM m JOIN classes c ON c.cid = m.member JOIN units u ON u.tokens = c.tokens AND u.lines = c.lines",
 )
 
 
 def cluster_sizes(spark, folder):
-    """Members, edges and units per cluster."""
-    edges = cut_lineage(B.similar(spark, folder).where(F.col("a") != F.col("b")))
-    members = cut_lineage(connected_components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))))
-    copies = B.classes(spark, folder).select(F.col("cid").alias("member"), "copies")
-    sizes = members.join(copies, "member").groupBy("cluster").agg(
-        F.count(F.lit(1)).alias("members"), F.sum("copies").alias("units")
+    """Classes, units, links between classes and unit pairs those links and the copies stand for, per cluster."""
+    clusters, links = _class_clusters(spark, folder)
+    copies = F.col("copies")
+    sizes = clusters.groupBy("cluster").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("copies").alias("units"), F.sum(F.floor(copies * (copies - 1) / 2).cast("bigint")).alias("copy_pairs")
     )
-    counts = edges.join(members, edges.a == members.member).groupBy("cluster").agg(F.count(F.lit(1)).alias("edges"))
-    return sizes.join(counts, "cluster")
+    counts = links.join(clusters, F.col("u") == F.col("cid")).groupBy("cluster").agg(F.count(F.lit(1)).alias("edges"))
+    return sizes.join(counts, "cluster", "left").withColumn("edges", F.coalesce("edges", F.lit(0).cast("bigint")))
 
 
 QUERIES["cluster_sizes"] = (
     cluster_sizes,
-    f"""WITH RECURSIVE {B.SQL_CLASS_PAIRS},
-e AS (SELECT a AS u, b AS v FROM sims WHERE a <> b UNION ALL SELECT b, a FROM sims WHERE a <> b),
-reach(member, other) AS (SELECT u, u FROM e UNION SELECT r.member, e.v FROM reach r JOIN e ON e.u = r.other),
-m AS (SELECT member, min(other) AS cluster FROM reach GROUP BY member),
+    f"""{_SQL_CLASS_CLUSTERS},
 c AS (SELECT cluster, count(*) AS edges FROM sims JOIN m ON m.member = a WHERE a <> b GROUP BY cluster)
-SELECT cluster, CAST(count(*) AS BIGINT) AS members, CAST(sum(copies) AS BIGINT) AS units, CAST(any_value(edges) AS BIGINT) AS edges
-FROM m JOIN classes ON cid = member JOIN c USING (cluster) GROUP BY cluster""",
+SELECT cluster, CAST(count(*) AS BIGINT) AS members, CAST(sum(copies) AS BIGINT) AS units, CAST(sum(copies * (copies - 1) // 2) AS BIGINT) AS copy_pairs,
+  CAST(coalesce(any_value(edges), 0) AS BIGINT) AS edges FROM m JOIN classes ON cid = member LEFT JOIN c USING (cluster) GROUP BY cluster""",
 )
 
 

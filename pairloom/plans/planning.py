@@ -100,7 +100,7 @@ QUERIES["trim_order"] = (
 SELECT *, CASE WHEN sum(bytes) OVER (PARTITION BY unit_id ORDER BY tier, bytes, index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > {TRIM_BUDGET} THEN 'request_byte_budget_trim' END AS omission FROM r""",
 )
 
-GROUP_CAP = 2000
+GROUP_CAP = K.MAX_REQUEST_BYTES
 
 
 def _question_bytes():
@@ -109,7 +109,7 @@ def _question_bytes():
 
 def question_bins(spark, folder):
     """Question groups per document: state bytes plus questions stay under the cap."""
-    docs = table(spark, folder, "documents").select("doc_id", F.least(F.octet_length("text"), F.lit(1500)).cast("bigint").alias("state"))
+    docs = table(spark, folder, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("state"))
     rows = P.question_groups(docs.withColumn("q", _question_bytes()), "q", F.col("state"), GROUP_CAP)
     return rows.select("doc_id", F.array_join(F.col("groups").cast("array<string>"), ",").alias("groups"), (F.array_max("groups") + 1).cast("bigint").alias("group_count"))
 
@@ -118,7 +118,7 @@ _pos = [i for i, _ in FUNCTION_SIGNALS]
 _qb = ", ".join(f"CAST(floor({B.sql_unit_hash(chr(39) + f'qb{i}' + chr(39), 'doc_id')} * 800) AS BIGINT) + 100" for i in _pos)
 QUERIES["question_bins"] = (
     question_bins,
-    f"""WITH RECURSIVE d AS (SELECT doc_id, least(octet_length(encode(text)), 1500) AS state, [{_qb}] AS q FROM documents),
+    f"""WITH RECURSIVE d AS (SELECT doc_id, octet_length(encode(text)) AS state, [{_qb}] AS q FROM documents),
 f(doc_id, i, grp, used, outs) AS (SELECT doc_id, 1, 0, q[1], '0' FROM d UNION ALL
   SELECT f.doc_id, i + 1, CASE WHEN state + used + q[i + 1] <= {GROUP_CAP} THEN grp ELSE grp + 1 END, CASE WHEN state + used + q[i + 1] <= {GROUP_CAP} THEN used + q[i + 1] ELSE q[i + 1] END,
     outs || ',' || CASE WHEN state + used + q[i + 1] <= {GROUP_CAP} THEN grp ELSE grp + 1 END FROM f JOIN d ON d.doc_id = f.doc_id WHERE i < {len(_pos)})
@@ -141,7 +141,7 @@ w AS (SELECT doc_id, size, (line - 1) // size AS w, sum(length + 1) AS bytes FRO
 p AS (SELECT doc_id, size, max(bytes) AS largest, count(*) AS windows FROM w GROUP BY 1, 2)
 SELECT doc_id, CAST(max(size) AS BIGINT) AS size, CAST(arg_max(windows, size) AS BIGINT) AS windows, CAST(arg_max(largest, size) AS BIGINT) AS largest FROM p WHERE largest <= {WINDOW_CAP} OR size = {K.MIN_WINDOW_LINES} GROUP BY doc_id""",
 )
-UNIT_BUDGET = 700
+UNIT_BUDGET = K.MAX_UNITS
 
 
 def unit_parts(spark, folder):

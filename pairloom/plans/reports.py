@@ -301,7 +301,7 @@ def unpacked_units(spark, folder):
     return over.select("unit_id", F.col("s.signal_id").alias("signal_id"), F.lit("not_packed_candidate_limit").alias("cell_status"))
 
 
-UNIT_CAP = 900
+UNIT_CAP = K.MAX_UNITS
 QUERIES["unpacked_units"] = (
     unpacked_units,
     f"""WITH o AS (SELECT doc_id AS unit_id, row_number() OVER (ORDER BY doc_id) AS place FROM documents)

@@ -19,7 +19,7 @@ from pairloom.sources.tables import table
 
 QUERIES: dict = {}
 CUT = K.DEFAULT_CUT
-RESAMPLES = 200
+RESAMPLES = K.BOOTSTRAP_RESAMPLES
 
 
 def D(x) -> str:
@@ -357,11 +357,11 @@ STRICT = (f"floor((count(*) - 1) * {D(0.025)})", f"ceil((count(*) - 1) * {D(0.97
 
 def bootstrap_auc_ci(spark, folder):
     """Percentile interval of the AUC per set, from the seeded generator."""
-    draws = S.bootstrap_auc(scored(spark, folder).withColumnRenamed("p1", "score"), ["lang"], "score", "quality", ["id"], RESAMPLES, F.lit(K.BOOTSTRAP_SEED))
+    draws = S.bootstrap_auc(scored(spark, folder).withColumnRenamed("p1", "score"), ["lang"], "score", "quality", RESAMPLES, F.lit(K.BOOTSTRAP_SEED))
     return S.percentile_interval_strict(cut_lineage(draws), ["lang"], "auc")
 
 
-SQL_BOOT = f"""{SQL_S}, it AS (SELECT lang, p1 AS score, quality AS y, row_number() OVER (PARTITION BY lang ORDER BY id) - 1 AS idx FROM s),
+SQL_BOOT = f"""{SQL_S}, it AS (SELECT lang, p1 AS score, quality AS y, row_number() OVER (PARTITION BY lang ORDER BY quality, p1) - 1 AS idx FROM s),
 {sql_draws('it', 'lang', K.BOOTSTRAP_SEED, RESAMPLES)}, rw AS (SELECT * FROM w JOIN it USING (lang, idx)), {sql_boot_auc('rw', 'lang')}"""
 QUERIES["bootstrap_auc_ci"] = (bootstrap_auc_ci, f"WITH {SQL_BOOT} {sql_interval('ba', 'lang', 'auc', *STRICT, cond='count(*) >= 20')}")
 
@@ -371,7 +371,8 @@ def clustered_bootstrap(spark, folder):
     rows = cut_lineage(scored(spark, folder).select("lang", "source", F.col("p1").alias("score"), "quality"))
     clusters = rows.select("lang", "source").distinct()
     weights = S.resample_weights(clusters, ["lang"], ["source"], RESAMPLES, F.lit(K.BOOTSTRAP_SEED))
-    draws = S.auc(weights.join(rows, ["lang", "source"]), ["lang", "replicate"], "score", "quality", weight=F.col("weight"))
+    cells = rows.groupBy("lang", "source", "score", "quality").agg(F.count(F.lit(1)).alias("_rows"))
+    draws = S.auc(weights.join(cells, ["lang", "source"]), ["lang", "replicate"], "score", "quality", weight=F.col("weight") * F.col("_rows"))
     return S.percentile_interval(cut_lineage(draws.select("lang", "replicate", "auc")), ["lang"], "auc")
 
 
@@ -389,7 +390,7 @@ def paired_bootstrap(spark, folder):
     rows = repeat_cells(spark, folder)
     delta = F.floor(F.col("p2") * 100 + F.lit(0.5)).cast("bigint") - F.floor(F.col("p1") * 100 + F.lit(0.5)).cast("bigint")
     items = cut_lineage(rows.select("lang", "id", delta.alias("delta")))
-    weights = S.resample_weights(items, ["lang"], ["id"], RESAMPLES, F.lit(K.BOOTSTRAP_SEED))
+    weights = S.resample_cells(items, ["lang"], ["delta"], RESAMPLES, F.lit(K.BOOTSTRAP_SEED))
     means = weights.groupBy("lang", "replicate").agg(
         (F.sum(F.col("weight") * F.col("delta")).cast("double") / F.lit(100.0) / F.sum("weight")).alias("mean_delta")
     )
@@ -404,7 +405,7 @@ def paired_bootstrap(spark, folder):
 QUERIES["paired_bootstrap"] = (
     paired_bootstrap,
     f"""WITH {SQL_REPEAT}, it AS (SELECT lang, CAST(floor(p2 * 100 + {D(0.5)}) AS BIGINT) - CAST(floor(p1 * 100 + {D(0.5)}) AS BIGINT) AS delta,
-  row_number() OVER (PARTITION BY lang ORDER BY id) - 1 AS idx FROM rc), {sql_draws('it', 'lang', K.BOOTSTRAP_SEED, RESAMPLES)},
+  row_number() OVER (PARTITION BY lang ORDER BY p2_p1) - 1 AS idx FROM (SELECT *, CAST(floor(p2 * 100 + {D(0.5)}) AS BIGINT) - CAST(floor(p1 * 100 + {D(0.5)}) AS BIGINT) AS p2_p1 FROM rc)), {sql_draws('it', 'lang', K.BOOTSTRAP_SEED, RESAMPLES)},
 mm AS (SELECT w.lang, replicate, {D('sum(weight * delta)')} / {D(100)} / sum(weight) AS md FROM w JOIN it USING (lang, idx) GROUP BY 1, 2),
 ci AS ({sql_interval('mm', 'lang', 'md', *LOOSE)}),
 wh AS (SELECT lang, {D('sum(delta)')} / {D(100)} / count(*) AS mean_delta, CAST(count_if(delta > 0) AS BIGINT) AS higher, CAST(count_if(delta < 0) AS BIGINT) AS lower, CAST(count_if(delta = 0) AS BIGINT) AS tied FROM it GROUP BY lang)
@@ -418,16 +419,20 @@ def contrast_sets(spark, folder):
     """Per set and scorer: AUC with interval; whether the scorer is matched (interval holds one half)."""
     rows = cut_lineage(by_scorer(scored(spark, folder)).where(F.col("scorer").isin("hash", "lines")).select("lang", "scorer", "id", "score", "quality"))
     point = S.auc(rows, ["lang", "scorer"], "score", "quality")
-    draws = cut_lineage(S.bootstrap_auc(rows, ["lang", "scorer"], "score", "quality", ["id"], RESAMPLES, F.lit(K.BOOTSTRAP_SEED)))
+    draws = cut_lineage(S.bootstrap_auc(rows, ["lang", "scorer"], "score", "quality", RESAMPLES, F.lit(K.BOOTSTRAP_SEED)))
     interval = S.percentile_interval(draws, ["lang", "scorer"], "auc")
     return point.join(interval.drop("draws"), ["lang", "scorer"]).withColumn("holds_half", (F.col("lo") <= 0.5) & (F.col("hi") >= 0.5))
 
 
-SQL_CONTRAST = f"""{SQL_LONG}, it AS (SELECT lang, scorer, score, quality AS y, row_number() OVER (PARTITION BY lang, scorer ORDER BY id) - 1 AS idx FROM lg WHERE scorer IN ('hash', 'lines')),
+def _sql_contrast(order: str) -> str:
+    return f"""{SQL_LONG}, it AS (SELECT lang, scorer, score, quality AS y, row_number() OVER (PARTITION BY lang, scorer ORDER BY {order}) - 1 AS idx FROM lg WHERE scorer IN ('hash', 'lines')),
 {sql_draws('it', 'lang, scorer', K.BOOTSTRAP_SEED, RESAMPLES)}, rw AS (SELECT * FROM w JOIN it USING (lang, scorer, idx)), {sql_boot_auc('rw', 'lang, scorer')},
 ci AS ({sql_interval('ba', 'lang, scorer', 'auc', *LOOSE)}),
 pt AS (SELECT lang, scorer, CAST(count_if(quality = 1) AS BIGINT) AS positives, CAST(count_if(quality <> 1) AS BIGINT) AS negatives, any_value(x.auc) AS auc
   FROM lg LEFT JOIN {_sql_auc('lg', 'lang, scorer')} x USING (lang, scorer) GROUP BY lang, scorer)"""
+
+
+SQL_CONTRAST, SQL_CONTRAST_PAIRED = _sql_contrast("quality, score"), _sql_contrast("id")
 QUERIES["contrast_sets"] = (
     contrast_sets,
     f"WITH {SQL_CONTRAST} SELECT lang, scorer, positives, negatives, auc, lo, hi, lo <= {D(0.5)} AND hi >= {D(0.5)} AS holds_half FROM pt JOIN ci USING (lang, scorer)",
@@ -583,8 +588,7 @@ QUERIES["threshold_grid"] = (
     f"WITH {SQL_S}, {SQL_GRID} SELECT lang, CAST(point AS BIGINT) AS point, CAST(positives AS BIGINT) AS positives, CAST(controls AS BIGINT) AS controls, CAST(hardened AS BIGINT) AS hardened, CAST(labeled AS BIGINT) AS labeled FROM gr",
 )
 
-# The hash scorer separates nothing, so the false-alarm bars are wide enough for a cut to exist.
-CUT_ALARM, HARD_ALARM, FLOOR_ALARM, YIELD = 0.45, 0.6, 0.7, 0.3
+CUT_ALARM, HARD_ALARM, FLOOR_ALARM, YIELD = (K.CUT_RULE[k] for k in ("cut_primary", "cut_hardened", "floor_primary", "cut_real"))
 
 
 def derived_cuts(spark, folder):

@@ -164,7 +164,7 @@ QUERIES["skipped_files"] = (
 FROM pst WHERE status NOT IN ('read', 'non_source', 'outside_paths')""",
 )
 
-ADMIT_TOTAL, ADMIT_COUNT, ADMIT_EACH = 100_000, 60, 20_000
+ADMIT_TOTAL, ADMIT_COUNT, ADMIT_EACH = K.MAX_TOTAL_BYTES, K.MAX_FILES, K.MAX_FILE_BYTES
 
 
 def file_admission(spark, folder):

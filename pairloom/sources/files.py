@@ -11,22 +11,40 @@ from pairloom.functions import text as T
 from pairloom.operators.admission import admit_in_order
 
 
-def snapshot(spark: SparkSession, root: str, excluded: list[str] = (), scope: list[str] = (), include_content: bool = True) -> DataFrame:
+def _literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def snapshot(
+    spark: SparkSession,
+    root: str,
+    excluded: list[str] = (),
+    scope: list[str] = (),
+    include_content: bool = True,
+    max_total_bytes: int | None = None,
+    max_files: int | None = None,
+    max_file_bytes: int | None = None,
+) -> DataFrame:
     """One row per file below ``root`` with exactly one status; text only where the status is ``read``.
 
-    The listing is filtered by path before any content is read; executors read and check the rest. Caps admit
-    or skip files in path order.
+    The listing is filtered by path before any content is read; executors read and check the rest. Caps, where given
+    (constants.py has the usual ones), admit or skip files in path order; without caps every file is read.
     """
     prefix = root.rstrip("/") + "/"
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.element_at(F.split("path", prefix), -1)
+    place = F.instr("path", prefix)
+    path = F.when(place > 0, F.expr(f"substring(path, instr(path, {_literal(prefix)}) + {len(prefix)})")).otherwise(F.col("path"))
     listed = listing.select(path.alias("path"), F.col("length").alias("bytes"), "content")
     p = F.col("path")
     in_scope = T.under_any(p, list(scope)) if scope else F.lit(True)
     early = F.when(~T.is_source_path(p), "non_source").when(~in_scope, "outside_paths").when(~T.is_admissible(p, list(excluded)), "excluded_path")
     entries = listed.withColumn("early", early)
-    fits = admit_in_order(entries.where(F.col("early").isNull()).select("path", "bytes"), ["path"], "bytes", K.MAX_TOTAL_BYTES, K.MAX_FILES, K.MAX_FILE_BYTES)
-    checked = entries.join(fits.select("path", "admitted"), "path", "left")
+    if max_total_bytes is None and max_files is None and max_file_bytes is None:
+        checked = entries.withColumn("admitted", F.col("early").isNull())
+    else:
+        most = (1 << 62) if max_total_bytes is None else max_total_bytes
+        fits = admit_in_order(entries.where(F.col("early").isNull()).select("path", "bytes"), ["path"], "bytes", most, max_files, max_file_bytes)
+        checked = entries.join(fits.select("path", "admitted"), "path", "left")
     raw = F.col("content")
     text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
     read = checked.withColumn("text", F.when(F.col("admitted"), text))
