@@ -47,9 +47,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
+    """Reliable checkpoint: survives executor loss, unlike a local one.
+
+    A checkpoint keeps the constraints of the plan that made it, and these multiply where rounds of self-joins rename
+    columns, until planning takes minutes. They are not derived for the plan that is cut.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    conf, key = df.sparkSession.conf, "spark.sql.constraintPropagation.enabled"
+    before = conf.get(key, "true")
+    conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        conf.set(key, before)
 
 
 def slice_count(spark: SparkSession) -> int:
