@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairloom.session import cut_lineage
+from pairloom.llm.tables import cut, discard
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -22,18 +22,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Null ends and loops are no edges; repeated edges count once; an empty table gives no rows.
     """
-    current = cut_lineage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    current = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = _mark(current)
     while mark[0]:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut_lineage(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
-        large = cut_lineage(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut_lineage(large.groupBy("u").agg(F.min("v").alias("m")))
-        rest = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = cut_lineage(rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = _mark(current)
-        if now == mark:
+        low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = cut(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(current, low, large, least)
+        current, before, mark = following, mark, _mark(following)
+        if mark == before:
             break
-        mark = now
     pairs = current.select(F.col("u").alias("member"), F.col("v").alias("component"))
     return pairs.unionByName(current.select(F.col("v").alias("member"), F.col("v").alias("component")).distinct())

@@ -26,8 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import words as W
-from pairloom.llm.tables import id_and_text, read
-from pairloom.session import cut_lineage
+from pairloom.llm.tables import cut, id_and_text, read
 
 SHINGLE = 5
 SHARE = 0.8
@@ -117,7 +116,7 @@ def contained_items(
     """(doc_id, item_id, n_item, n_found): every document and item with n_found >= share * n_item."""
     spark = documents.sparkSession
     docs = id_and_text(documents, id_col, text_col)
-    prepared = cut_lineage(item_shingles(items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")), width))
+    prepared = cut(item_shingles(items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")), width))
     parts = []
     for block in _blocks(prepared, block_shingles):
         sent = spark.sparkContext.broadcast(_pack(block, share))
@@ -136,7 +135,7 @@ def keep_clean(
     item_text: str = "text",
 ) -> DataFrame:
     """The rows of documents, with all their columns, that contain no item; each block of items is a filter."""
-    prepared = cut_lineage(item_shingles(items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")), width))
+    prepared = cut(item_shingles(items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")), width))
     text, kept = documents.columns.index(text_col), documents
     for block in _blocks(prepared, block_shingles):
         kept = kept.mapInArrow(_sift(documents.sparkSession.sparkContext.broadcast(_pack(block, share)), share, text), documents.schema)

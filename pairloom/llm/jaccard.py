@@ -39,8 +39,7 @@ from pyspark.sql import functions as F
 
 from pairloom.llm import words as W
 from pairloom.llm.components import connected_components
-from pairloom.llm.tables import SENT_IDS, id_and_text, one_row_per_id, read
-from pairloom.session import cut_lineage
+from pairloom.llm.tables import SENT_IDS, cut, discard, id_and_text, one_row_per_id, read
 
 SHINGLE = 4
 PER_CENT = 85
@@ -167,11 +166,11 @@ def _first(n: Column, per_cent: int) -> Column:
 def _index(sets: DataFrame, per_cent: int) -> DataFrame:
     """(token, id, n): prefix tokens, rarest first, of sets that can have a partner. A token of one set takes a place only."""
     rows = sets.select("id", F.explode("tokens").alias("token"))
-    often = cut_lineage(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    often = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     known = rows.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).join(sets.select("id", "n"), "id")
     places = _first(F.col("n"), per_cent) - (F.col("n") - F.size("t")).cast("int")
     chosen = known.withColumn("places", places).where("places > 0")
-    return cut_lineage(chosen.select("id", "n", F.explode(F.expr("transform(slice(t, 1, places), x -> x.token)")).alias("token")))
+    return cut(chosen.select("id", "n", F.explode(F.expr("transform(slice(t, 1, places), x -> x.token)")).alias("token")))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -195,8 +194,8 @@ def _labelled(index: DataFrame, links: list[DataFrame]) -> DataFrame:
     """The index with each id's component so far."""
     if not links:
         return index.withColumn("label", F.col("id"))
-    found = cut_lineage(connected_components(reduce(DataFrame.unionByName, links)))
-    return cut_lineage(
+    found = cut(connected_components(reduce(DataFrame.unionByName, links)))
+    return cut(
         index.join(found, F.col("id") == F.col("member"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("label"))
     )
 
@@ -208,13 +207,13 @@ def links_between(sets: DataFrame, per_cent: int, rounds: int = LEADER_ROUNDS) -
         rows = _labelled(index, links)
         if turn < rounds:
             lead = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("x"), "id", "n", "label")).alias("lead")
-            mixed = cut_lineage(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead).where("low <> high").select("token", "lead"))
+            mixed = cut(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead).where("low <> high").select("token", "lead"))
             met = rows.join(mixed, "token").where((F.col("label") != F.col("lead.label")) & _fits(F.col("n"), F.col("lead.n"), per_cent))
             pairs = met.select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
         else:
             shares = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
-            mixed = cut_lineage(shares.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("most.label").alias("major")))
-            apart = cut_lineage(rows.join(mixed, "token"))
+            mixed = cut(shares.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("most.label").alias("major")))
+            apart = cut(rows.join(mixed, "token"))
             minor = apart.where("label <> major").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
             met = minor.join(apart, "token").where(
                 (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("id"))) & _fits(F.col("n"), F.col("n_a"), per_cent)
@@ -224,11 +223,11 @@ def links_between(sets: DataFrame, per_cent: int, rounds: int = LEADER_ROUNDS) -
         for earlier in tried:
             back = earlier.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(earlier, ["a", "b"], "left_anti").join(back, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
+        pairs = cut(pairs)
         if not pairs.count():
             break
         tried.append(pairs)
-        links.append(cut_lineage(_verify(pairs, sets, per_cent)))
+        links.append(cut(_verify(pairs, sets, per_cent)))
     return links
 
 
@@ -237,26 +236,27 @@ def similar_documents(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
     docs = id_and_text(documents, id_col, text_col)
-    signed = cut_lineage(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, s1 long, s2 long"))
+    signed = cut(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, s1 long, s2 long"))
     named = signed.where("doc_id is not null and n_shingles > 0")
-    classes = cut_lineage(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
+    classes = cut(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
 
     some = docs.where("doc_id is not null and text is not null")
     prefixes = some.select("text").mapInArrow(_prefix_rows(width, per_cent), "token long, s1 long, known int")
     shared = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_counts, "s1 long, n long").groupBy("s1").agg(F.sum("n").alias("shared"))
     enough = F.ceil(F.col("n") * per_cent / 100)  # of the shortest partner, whose least k holds
     left = classes.join(shared, "s1").where(F.col("shared") >= enough - F.ceil(enough * per_cent / 100) + 1)
-    held = cut_lineage(left.select(F.col("rep").alias("held_id"), "s1"))
+    held = cut(left.select(F.col("rep").alias("held_id"), "s1"))
     sent = F.broadcast(held) if held.count() <= SENT_IDS else held
     texts = some.join(sent, F.col("doc_id") == F.col("held_id")).select("doc_id", "text", "s1")
-    sets = cut_lineage(texts.mapInArrow(_sets(width, per_cent), "id long, n long, tokens array<long>, second array<long>"))
+    sets = cut(texts.mapInArrow(_sets(width, per_cent), "id long, n long, tokens array<long>, second array<long>"))
     sets = one_row_per_id(sets, "id")
 
-    member = cut_lineage(named.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "n_shingles", "rep"))
+    member = cut(named.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "n_shingles", "rep"))
     own = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    one_id = member.join(cut_lineage(own), "doc_id").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    links = [*links_between(sets, per_cent), cut_lineage(one_id)]
-    found = cut_lineage(connected_components(reduce(DataFrame.unionByName, links)))
+    one_id = member.join(cut(own), "doc_id").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
+    links = [*links_between(sets, per_cent), cut(one_id)]
+    found = cut(connected_components(reduce(DataFrame.unionByName, links)))
+    discard(sets, held, *links)
     grouped = member.join(found, F.col("rep") == F.col("member"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return grouped.unionByName(alone)

@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pairloom.llm.tables import read
-from pairloom.session import cut_lineage
+from pairloom.llm.tables import cut, read
 
 SCALE = 1024
 BLOCK = 4096
@@ -168,7 +167,7 @@ def top_k_inner(
     """(query_id, rank, vec_id, score): the k highest integer inner products of each row for which is_query(id) holds."""
     spark = vectors.sparkSession
     whole = integer_vectors(vectors, id_col, vector_col, scale)
-    rows = cut_lineage(
+    rows = cut(
         whole.repartitionByRange(F.col("size").desc(), "id").sortWithinPartitions(F.col("size").desc(), "id").withColumn("row", F.monotonically_increasing_id())
     )
     width = rows.agg(F.max(F.size("v"))).first()[0]
@@ -185,7 +184,7 @@ def top_k_inner(
     queries = asked.repartition(max(1, -(-n_queries // QUERIES_PER_BLOCK))).mapInArrow(_pack(QUERIES_PER_BLOCK, width), packed)
     with_floor = queries.select("ids", "rows", "m").mapInArrow(_floors(seed, width, k), "q_ids binary, q_rows binary, q_m binary, floors binary")
     parts = max(1, -(-n_queries * (width + 3) * 8 // SENT_BYTES))
-    with_floor = cut_lineage(with_floor)
+    with_floor = cut(with_floor)
     sent = (with_floor.where(F.pmod(F.xxhash64("q_rows"), F.lit(parts)) == i) for i in range(parts))
     met = reduce(DataFrame.unionByName, (blocks.select("ids", "rows", "m").crossJoin(F.broadcast(part)) for part in sent))
     found = met.select("q_ids", "q_rows", "q_m", "floors", "ids", "rows", "m").mapInArrow(_search(basis, width, head, k), "query_id long, q_row long, vec_id long, v_row long, score long")

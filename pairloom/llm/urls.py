@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm.components import connected_components
-from pairloom.llm.tables import read
-from pairloom.session import cut_lineage
+from pairloom.llm.tables import cut, read
 
 # The rules of the query, (verdict, host, path).
 RULES = (
@@ -104,20 +103,20 @@ def filter_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     out = ("page_id", "host", "path", F.col("own.rule").alias("rule"))
     ruled = judged.where("own is not null").select(*out, F.col("own.verdict").alias("verdict"), F.lit("rule").alias("via"))
 
-    edges = cut_lineage(alias_edges(rows.select("url", "html")))
+    edges = cut(alias_edges(rows.select("url", "html")))
     links = edges.select(address(url).alias("u"), address(F.col("target")).alias("v"))
     members = connected_components(links)
     # What rules say of each address, known from pages or from targets.
     named = rows.select("url").unionByName(edges.select(F.col("target").alias("url")))
     said = named.select(address(url).alias("member"), rule_of(host_of(url), path_of(url), rules)["verdict"].alias("verdict")).where("member is not null and verdict is not null")
-    said = cut_lineage(said.groupBy("member").agg(F.min("verdict").alias("verdict")))  # allow before block
+    said = cut(said.groupBy("member").agg(F.min("verdict").alias("verdict")))  # allow before block
     # An address in no component is one of its own.
-    of = cut_lineage(members).withColumnRenamed("member", "_m")
+    of = cut(members).withColumnRenamed("member", "_m")
     known = said.join(of, F.col("member") == F.col("_m"), "left").select(F.coalesce("component", "member").alias("component"), "verdict")
-    decided = cut_lineage(known.groupBy("component").agg(F.min("verdict").alias("verdict")))
+    decided = cut(known.groupBy("component").agg(F.min("verdict").alias("verdict")))
     reached = of.join(decided, "component").select(F.col("_m").alias("key"), "verdict")
     alone = decided.withColumnRenamed("component", "key").join(of.select("_m"), F.col("key") == F.col("_m"), "left_anti")
-    by_address = cut_lineage(reached.unionByName(alone))
+    by_address = cut(reached.unionByName(alone))
 
     open_pages = judged.where("own is null").withColumn("_key", address(url))
     lost = open_pages.where("_key is null").select(*out, F.lit("allow").alias("verdict"), F.lit("default").alias("via"))
