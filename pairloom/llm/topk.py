@@ -16,7 +16,7 @@ Then, for a query q and a vector v:
 What remains is scored in exact integers; floors rise within a block. A block hands on its k best for each query,
 and the ranks come from a window over these, limited to k rows before the shuffle.
 
-Defined cases: null vectors and vectors with null or non-finite components take no part; shorter vectors count as
+Defined cases: null vectors, vectors with null or non-finite components and rows without id take no part; shorter vectors count as
 zeros beyond their end; a query never meets its own row, but does meet other rows that carry its id; ties go to the
 smaller id; fewer than k candidates give fewer rows; empty tables give no rows. Extra columns are ignored.
 """
@@ -44,7 +44,7 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: int
     """(id, v array<long>, size): rows that take part."""
     x = F.transform(F.col(vector_col), lambda c: c.cast("double"))
     bad = F.exists("x", lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("x is not null").where(~bad)
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), x.alias("x")).where("id is not null and x is not null").where(~bad)
     whole = rows.select("id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c)).alias("v"))
     return whole.withColumn("size", F.aggregate("v", F.lit(0).cast("double"), lambda a, c: a + c.cast("double") * c.cast("double")))
 
