@@ -13,8 +13,12 @@ from pyspark.sql import functions as F
 from pairloom.llm.tables import cut, discard
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _only_stars(edges: DataFrame) -> bool:
+    ends = edges.groupBy(F.col("u").alias("n")).agg(F.count(F.lit(1)).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).cast("long").alias("out"), F.lit(1).alias("into")).distinct()
+    )
+    both = ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return both.where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -23,8 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Null ends and loops are no edges; repeated edges count once; an empty table gives no rows.
     """
     current = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = _mark(current)
-    while mark[0]:
+    while not _only_stars(current):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = cut(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
@@ -32,8 +35,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = cut(rest.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         discard(current, low, large, least)
-        current, before, mark = following, mark, _mark(following)
-        if mark == before:
-            break
+        current = following
     pairs = current.select(F.col("u").alias("member"), F.col("v").alias("component"))
     return pairs.unionByName(current.select(F.col("v").alias("member"), F.col("v").alias("component")).distinct())

@@ -16,7 +16,8 @@ by its smallest id, before anything is compared.
 
 Components need no link inside one component twice, so the members of an index bucket first meet one leader each, for
 ``LEADER_ROUNDS`` rounds with other leaders among what is still apart; then all proposed pairs that lie in different
-components are verified, those of the largest component of a bucket only against the others. A bucket of any size
+components are verified, those of the largest component of a bucket only against the others. A pair is proposed only
+if the shingles that either shares with anyone can make up the overlap the pair needs. A bucket of any size
 costs about its size unless its members truly differ, and no link between components is missed.
 
 Before the first shuffle a map task counts shingles it has seen in two sets itself, so a frequent shingle is sent once
@@ -43,7 +44,7 @@ from pairloom.llm.tables import SENT_IDS, cut, discard, id_and_text, one_row_per
 
 SHINGLE = 4
 PER_CENT = 85
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 FLUSH = 1 << 20
 
 _SECOND = np.uint64(0xA5A5A5A55A5A5A5A)
@@ -164,13 +165,14 @@ def _first(n: Column, per_cent: int) -> Column:
 
 
 def _index(sets: DataFrame, per_cent: int) -> DataFrame:
-    """(token, id, n): prefix tokens, rarest first, of sets that can have a partner. A token of one set takes a place only."""
+    """(token, id, n, k): prefix tokens, rarest first, of sets that can have a partner. A token of one set takes a place
+    only; k tokens of the set stand in another at all."""
     rows = sets.select("id", F.explode("tokens").alias("token"))
     often = cut(rows.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     known = rows.join(often, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t")).join(sets.select("id", "n"), "id")
     places = _first(F.col("n"), per_cent) - (F.col("n") - F.size("t")).cast("int")
-    chosen = known.withColumn("places", places).where("places > 0")
-    return cut(chosen.select("id", "n", F.explode(F.expr("transform(slice(t, 1, places), x -> x.token)")).alias("token")))
+    chosen = known.withColumn("places", places).where("places > 0").withColumn("k", F.size("t").cast("long"))
+    return cut(chosen.select("id", "n", "k", F.explode(F.expr("transform(slice(t, 1, places), x -> x.token)")).alias("token")))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
@@ -186,8 +188,9 @@ def _verify(pairs: DataFrame, sets: DataFrame, per_cent: int) -> DataFrame:
     return linked.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def _fits(n: Column, m: Column, per_cent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * per_cent
+def _fits(n: Column, k: Column, m: Column, j: Column, per_cent: int) -> Column:
+    """Sizes n and m fit, and the tokens that others share, k and j of them, can make up the overlap the pair needs."""
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * per_cent) & (F.least(k, j) * (100 + per_cent) >= (n + m) * per_cent)
 
 
 def _labelled(index: DataFrame, links: list[DataFrame]) -> DataFrame:
@@ -196,7 +199,7 @@ def _labelled(index: DataFrame, links: list[DataFrame]) -> DataFrame:
         return index.withColumn("label", F.col("id"))
     found = cut(connected_components(reduce(DataFrame.unionByName, links)))
     return cut(
-        index.join(found, F.col("id") == F.col("member"), "left").select("token", "id", "n", F.coalesce("component", "id").alias("label"))
+        index.join(found, F.col("id") == F.col("member"), "left").select("token", "id", "n", "k", F.coalesce("component", "id").alias("label"))
     )
 
 
@@ -206,17 +209,21 @@ def links_between(sets: DataFrame, per_cent: int, rounds: int = LEADER_ROUNDS) -
     for turn in range(rounds + 1):
         rows = _labelled(index, links)
         if turn < rounds:
-            lead = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("x"), "id", "n", "label")).alias("lead")
+            # The member with the fewest tokens of its own is nearest to all others.
+            lead = F.min(F.struct((F.col("n") - F.col("k")).alias("own"), F.xxhash64(F.lit(turn), "id").alias("x"), "id", "n", "k", "label")).alias("lead")
             mixed = cut(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead).where("low <> high").select("token", "lead"))
-            met = rows.join(mixed, "token").where((F.col("label") != F.col("lead.label")) & _fits(F.col("n"), F.col("lead.n"), per_cent))
+            met = rows.join(mixed, "token").where((F.col("label") != F.col("lead.label")) & _fits(F.col("n"), F.col("k"), F.col("lead.n"), F.col("lead.k"), per_cent))
             pairs = met.select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
         else:
             shares = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
             mixed = cut(shares.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("most.label").alias("major")))
-            apart = cut(rows.join(mixed, "token"))
-            minor = apart.where("label <> major").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
+            prefixes = index.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
+            apart = cut(rows.join(mixed, "token").join(prefixes, "id"))
+            minor = apart.where("label <> major").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("label").alias("label_a"), F.col("prefix").alias("prefix_a"))
             met = minor.join(apart, "token").where(
-                (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("id"))) & _fits(F.col("n"), F.col("n_a"), per_cent)
+                (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("id"))) & _fits(F.col("n"), F.col("k"), F.col("n_a"), F.col("k_a"), per_cent)
+                # A pair is proposed in the bucket of its first common prefix token alone.
+                & (F.try_element_at(F.array_intersect("prefix_a", "prefix"), F.lit(1)) == F.col("token"))
             )
             pairs = met.select("a", F.col("id").alias("b"))
         pairs = pairs.distinct()
