@@ -63,10 +63,19 @@ def test_generator_is_a_counter(spark):
         assert got == [next(stream) for _ in range(50)]
 
 
-def test_bootstrap_replays_the_sequential_stream(spark):
+@pytest.mark.parametrize("in_order", [True, False])
+def test_bootstrap_replays_the_sequential_stream(spark, in_order):
+    """Items by id, or by label and score, where draws are counted by cell."""
     rng = random.Random(2)
     scores, labels = [rng.randrange(6) for _ in range(25)], [rng.random() < 0.5 for _ in range(25)]
-    got = {r.replicate: r.auc for r in S.bootstrap_auc(frame(spark, scores, labels), ["g"], "s", "y", ["id"], 30, F.lit(9)).collect()}
+    items = frame(spark, scores, labels)
+    if in_order:
+        draws = S.bootstrap_auc_in_order(items, ["g"], "s", "y", ["id"], 30, F.lit(9))
+    else:
+        draws = S.bootstrap_auc(items, ["g"], "s", "y", 30, F.lit(9))
+        order = sorted(range(25), key=lambda i: (labels[i], scores[i]))
+        scores, labels = [scores[i] for i in order], [labels[i] for i in order]
+    got = {r.replicate: r.auc for r in draws.collect()}
     stream = mulberry(9)
     for b in range(30):
         at = [int(next(stream) * 25) for _ in range(25)]
