@@ -18,7 +18,9 @@ Components need no link inside one component twice, so the members of an index b
 ``LEADER_ROUNDS`` rounds with other leaders among what is still apart; then all proposed pairs that lie in different
 components are verified, those of the largest component of a bucket only against the others. A pair is proposed only
 if the shingles that either shares with anyone can make up the overlap the pair needs. A bucket of any size
-costs about its size unless its members truly differ, and no link between components is missed.
+costs about its size unless its members truly differ, and no link between components is missed: the last round is run
+whatever the leaders propose. There a pair must also be near enough by parities: of each set, the parity of the tokens
+that fall into each of ``PARITIES`` places; each place where two sets differ holds a token that only one of them has.
 
 Before the first shuffle a map task counts shingles it has seen in two sets itself, so a frequent shingle is sent once
 a task. Texts are not shuffled where the ids of the sets left are few enough to be broadcast (``tables.SENT_IDS``).
@@ -46,6 +48,7 @@ SHINGLE = 4
 PER_CENT = 85
 LEADER_ROUNDS = 2
 FLUSH = 1 << 20
+PARITIES = 256
 
 _SECOND = np.uint64(0xA5A5A5A55A5A5A5A)
 
@@ -141,21 +144,26 @@ def _shared_counts(batches):
     yield settle(*rest)
 
 
+def _parities(own: np.ndarray) -> np.ndarray:
+    odd = np.bincount((own % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(width: int, per_cent: int):
-    """Rows (doc_id, text, s1) to whole sets in hash order with the second prefix, where the text has the set s1."""
+    """Rows (key, text, s1, s2) to whole sets in hash order with the second prefix and the parities, where the text has the set (s1, s2)."""
 
     def run(batches):
         for batch in batches:
-            ids, wanted, rows = batch.column(0).to_pylist(), batch.column(2).to_pylist(), []
+            ids, wanted, rows = batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())), []
             for group in W.iter_words(batch.column(1)):
                 for i, own in enumerate(W.shingle_sets(group, width)):
                     row = group.first + i
-                    if _identity(own)[0] == wanted[row]:
+                    if _identity(own) == wanted[row]:
                         second = own[np.argsort(W.mix(own ^ _SECOND), kind="stable")][: _prefix(len(own), per_cent)]
-                        rows.append((ids[row], len(own), own.view(np.int64), second.view(np.int64)))
-            columns = list(zip(*rows)) or [[]] * 4
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "n", "tokens", "second"])
+                        rows.append((ids[row], len(own), own.view(np.int64), second.view(np.int64), _parities(own)))
+            columns = list(zip(*rows)) or [[]] * 5
+            types = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "n", "tokens", "second", "odd"])
 
     return run
 
@@ -193,6 +201,12 @@ def _fits(n: Column, k: Column, m: Column, j: Column, per_cent: int) -> Column:
     return (F.least(n, m) * 100 >= F.greatest(n, m) * per_cent) & (F.least(k, j) * (100 + per_cent) >= (n + m) * per_cent)
 
 
+def _near(n: Column, odd: Column, m: Column, other: Column, per_cent: int) -> Column:
+    """The places where parities differ are no more than the tokens that only one set of a linked pair may have."""
+    apart = sum((F.bit_count(odd[i].bitwiseXOR(other[i])) for i in range(PARITIES // 64)), F.lit(0))
+    return apart * (100 + per_cent) <= (n + m) * (100 - per_cent)
+
+
 def _labelled(index: DataFrame, links: list[DataFrame]) -> DataFrame:
     """The index with each id's component so far."""
     if not links:
@@ -204,13 +218,14 @@ def _labelled(index: DataFrame, links: list[DataFrame]) -> DataFrame:
 
 
 def links_between(sets: DataFrame, per_cent: int, rounds: int = LEADER_ROUNDS) -> list[DataFrame]:
-    """Edge tables (u, v) over sets(id, n, tokens, second) that join the same ids as all links do."""
+    """Edge tables (u, v) over sets(id, n, tokens, second, odd) that join the same ids as all links do."""
     index, links, tried = _index(sets, per_cent), [], []
     for turn in range(rounds + 1):
         rows = _labelled(index, links)
         if turn < rounds:
-            # The member with the fewest tokens of its own is nearest to all others.
-            lead = F.min(F.struct((F.col("n") - F.col("k")).alias("own"), F.xxhash64(F.lit(turn), "id").alias("x"), "id", "n", "k", "label")).alias("lead")
+            # The member with the fewest tokens of its own is nearest to all others; where it is not, another leads next.
+            own = F.col("n") - F.col("k") if turn == 0 else F.lit(0).cast("long")
+            lead = F.min(F.struct(own.alias("own"), F.xxhash64(F.lit(turn), "id").alias("x"), "id", "n", "k", "label")).alias("lead")
             mixed = cut(rows.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), lead).where("low <> high").select("token", "lead"))
             met = rows.join(mixed, "token").where((F.col("label") != F.col("lead.label")) & _fits(F.col("n"), F.col("k"), F.col("lead.n"), F.col("lead.k"), per_cent))
             pairs = met.select(F.col("lead.id").alias("a"), F.col("id").alias("b"))
@@ -218,10 +233,11 @@ def links_between(sets: DataFrame, per_cent: int, rounds: int = LEADER_ROUNDS) -
             shares = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("k"))
             mixed = cut(shares.groupBy("token").agg(F.max(F.struct("k", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1").select("token", F.col("most.label").alias("major")))
             prefixes = index.groupBy("id").agg(F.sort_array(F.collect_list("token")).alias("prefix"))
-            apart = cut(rows.join(mixed, "token").join(prefixes, "id"))
-            minor = apart.where("label <> major").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("label").alias("label_a"), F.col("prefix").alias("prefix_a"))
+            apart = cut(rows.join(mixed, "token").join(prefixes.join(sets.select("id", "odd"), "id"), "id"))
+            minor = apart.where("label <> major").select("token", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("k").alias("k_a"), F.col("label").alias("label_a"), F.col("prefix").alias("prefix_a"), F.col("odd").alias("odd_a"))
             met = minor.join(apart, "token").where(
                 (F.col("label_a") != F.col("label")) & ((F.col("label") == F.col("major")) | (F.col("a") < F.col("id"))) & _fits(F.col("n"), F.col("k"), F.col("n_a"), F.col("k_a"), per_cent)
+                & _near(F.col("n"), F.col("odd"), F.col("n_a"), F.col("odd_a"), per_cent)
                 # A pair is proposed in the bucket of its first common prefix token alone.
                 & (F.try_element_at(F.array_intersect("prefix_a", "prefix"), F.lit(1)) == F.col("token"))
             )
@@ -231,8 +247,8 @@ def links_between(sets: DataFrame, per_cent: int, rounds: int = LEADER_ROUNDS) -
             back = earlier.select(F.col("b").alias("a"), F.col("a").alias("b"))
             pairs = pairs.join(earlier, ["a", "b"], "left_anti").join(back, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if not pairs.count():
-            break
+        if pairs.isEmpty():
+            continue
         tried.append(pairs)
         links.append(cut(_verify(pairs, sets, per_cent)))
     return links
@@ -252,17 +268,21 @@ def similar_documents(
     shared = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_counts, "s1 long, n long").groupBy("s1").agg(F.sum("n").alias("shared"))
     enough = F.ceil(F.col("n") * per_cent / 100)  # of the shortest partner, whose least k holds
     left = classes.join(shared, "s1").where(F.col("shared") >= enough - F.ceil(enough * per_cent / 100) + 1)
-    held = cut(left.select(F.col("rep").alias("held_id"), "s1"))
+    # A document whose rows differ has several sets, so sets go by a key of their own.
+    held = cut(left.select(F.col("rep").alias("held_id"), "s1", "s2", F.monotonically_increasing_id().alias("key")))
     sent = F.broadcast(held) if held.count() <= SENT_IDS else held
-    texts = some.join(sent, F.col("doc_id") == F.col("held_id")).select("doc_id", "text", "s1")
-    sets = cut(texts.mapInArrow(_sets(width, per_cent), "id long, n long, tokens array<long>, second array<long>"))
+    texts = some.join(sent, F.col("doc_id") == F.col("held_id")).select("key", "text", "s1", "s2")
+    sets = cut(texts.mapInArrow(_sets(width, per_cent), "id long, n long, tokens array<long>, second array<long>, odd array<long>"))
     sets = one_row_per_id(sets, "id")
 
     member = cut(named.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "n_shingles", "rep"))
     own = member.groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     one_id = member.join(cut(own), "doc_id").where("rep <> low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
-    links = [*links_between(sets, per_cent), cut(one_id)]
-    found = cut(connected_components(reduce(DataFrame.unionByName, links)))
+    links, rep = links_between(sets, per_cent), held.select("key", "held_id")
+    by_rep = [x.join(rep.toDF("u", "rep_u"), "u").join(rep.toDF("v", "rep_v"), "v").select(F.col("rep_u").alias("u"), F.col("rep_v").alias("v")) for x in links]
+    links.append(cut(one_id))
+    by_rep.append(links[-1])
+    found = cut(connected_components(reduce(DataFrame.unionByName, by_rep)))
     discard(sets, held, *links)
     grouped = member.join(found, F.col("rep") == F.col("member"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

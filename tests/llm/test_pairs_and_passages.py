@@ -62,6 +62,25 @@ def test_leader_rounds_lose_nothing(spark, corpus):
         jaccard.links_between.__defaults__ = (jaccard.LEADER_ROUNDS,)
 
 
+def test_a_leader_that_fits_nobody_hides_no_link(spark):
+    """The third text leads every bucket of the first two and is too long for either."""
+    rng = random.Random(11)
+    common, passage = prose(rng, 103, 10**6), prose(rng, 103, 10**6)
+    rows = [(1, common + " " + prose(rng, 6, 10**6)), (2, common + " " + prose(rng, 6, 10**6)), (3, common + " " + passage)]
+    rows += [(10 + i, passage + " " + prose(rng, 40, 10**6)) for i in range(6)]
+    want = brute_components(rows, 4, 85)
+    assert want[2] == 1 and want[3] == 3
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(documents(spark, rows)).collect()} == want
+
+
+def test_each_text_of_an_id_links(spark):
+    """Two texts of one id, each a near copy of another document."""
+    rng = random.Random(12)
+    one, two = prose(rng, 100, 10**6), prose(rng, 100, 10**6)
+    rows = [(1, one), (1, two), (2, one + " and more"), (3, two + " and more"), (4, prose(rng, 100, 10**6))]
+    assert {r.doc_id: r.component_id for r in jaccard.similar_documents(documents(spark, rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard.similar_documents(documents(spark, [])).collect() == []
 
