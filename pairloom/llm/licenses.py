@@ -1,15 +1,15 @@
 """License scan by a positional index of rare words.
 
 The index holds, for every word of the license templates, its postings (template, position). A word's weight is
-its inverse document frequency over the whole corpus, counted first. Of each template the ``ANCHORS`` highest
-weighted words are anchors. In a file only the words that are some template's anchor are looked up, so the
-frequent words of a template cost nothing. Each occurrence at file position p with posting (t, q) votes for
-template t starting at p - q; starts with at least ``VOTES`` of the anchors are kept (a template that has fewer
-anchors needs all), then the words of the template are compared at their places: the mandatory key phrase must
-stand there word for word, and at least ``COVER`` of all words must agree.
+its inverse document frequency over the whole corpus, counted first. Of each template the highest weighted word of
+the mandatory key phrase is the anchor; of one without key phrase, as many words as must agree at least once in
+what is found. In a file only the words that are some template's anchor are looked up, so the frequent words of
+a template cost nothing. Each occurrence at file position p with posting (t, q) proposes template t starting at
+p - q, then the words of the template are compared at their places: the key phrase must stand there word for
+word, and at least ``COVER`` of all words must agree. Every start that passes holds the anchor, so weights decide
+the cost alone, not what is found.
 
-Base phrases (``BASE_PHRASES``) are found at every place where their words stand consecutively; they need no
-votes. The index is small and of fixed size; files stream through their tasks, whole, without a shuffle.
+Base phrases (``BASE_PHRASES``) are found at every place where their words stand consecutively. The index is small and of fixed size; files stream through their tasks, whole, without a shuffle.
 
 Defined cases: null and empty texts have no words and no spans; an empty table gives no rows; repeated rows give
 repeated rows; a template found at several starts gives a span for each. Extra columns are ignored.
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from pairloom.llm import words as W
 from pairloom.llm.tables import id_and_text, read
 
-ANCHORS = 5
-VOTES = 3
 COVER = 0.8
 
 # Phrases and labels of the base scan.
@@ -101,7 +99,7 @@ class _Index:
         self.labels = [label for label, _, _ in templates]
         self.words = [_hashes(text) for _, text, _ in templates]
         self.base = [(label, _hashes(phrase)) for phrase, label in base]
-        self.key_at, self.need, postings = [], [], []
+        self.key_at, postings = [], []
         for t, (own, (_, _, phrase)) in enumerate(zip(self.words, templates)):
             wanted = _hashes(phrase)
             starts = [q for q in range(len(own) - len(wanted) + 1) if (own[q : q + len(wanted)] == wanted).all()]
@@ -109,9 +107,10 @@ class _Index:
                 raise ValueError(f"key phrase not in its template: {phrase}")
             self.key_at.append((starts[0], len(wanted)))
             weight = {int(h): math.log((documents + 1) / (frequency.get(int(h), 0) + 1)) for h in own}
-            chosen = sorted(weight, key=lambda h: (-weight[h], h))[:ANCHORS]
-            self.need.append(min(VOTES, len(chosen)))
-            postings += [(h, t, q) for q, h in enumerate(own.tolist()) if h in chosen]
+            places = range(starts[0], starts[0] + len(wanted)) if len(wanted) else range(len(own))
+            missed = 0 if len(wanted) else sum(m / len(own) >= COVER for m in range(len(own)))
+            ranked = sorted(places, key=lambda q: (-weight[int(own[q])], int(own[q]), q))
+            postings += [(int(own[q]), t, q) for q in ranked[: missed + 1]]
         postings.sort()
         self.keys = np.array(sorted({h for h, _, _ in postings}), np.uint64)
         self.first = np.searchsorted(np.array([h for h, _, _ in postings], np.uint64), np.append(self.keys, self.keys[-1:]))
@@ -137,16 +136,16 @@ class _Index:
         counts = high - low
         post = np.repeat(low - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
         template, start = self.template[post], np.repeat(at, counts) - self.place[post]
-        fits = start >= 0
-        votes, n = np.unique(np.stack([template[fits], start[fits]]), axis=1, return_counts=True)
-        for (t, s), v in zip(votes.T, n):
-            wanted = self.words[t]
-            if v < self.need[t] or s + len(wanted) > len(own):
-                continue
-            same = own[s : s + len(wanted)] == wanted
-            q, length = self.key_at[t]
-            if same[q : q + length].all() and same.mean() >= COVER:
-                found.append((self.labels[t], int(s), len(wanted), float(same.mean()), False))
+        for t in np.unique(template):
+            wanted, (q, length) = self.words[t], self.key_at[t]
+            starts = np.unique(start[template == t])
+            starts = starts[(starts >= 0) & (starts + len(wanted) <= len(own))]
+            for i in range(q, q + length):
+                starts = starts[own[starts + i] == wanted[i]]
+            for s in starts:
+                same = own[s : s + len(wanted)] == wanted
+                if same.mean() >= COVER:
+                    found.append((self.labels[t], int(s), len(wanted), float(same.mean()), False))
         return found
 
 

@@ -1,4 +1,5 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -144,5 +145,21 @@ def test_licenses(spark, folder, tmp_path):
         assert r.n_base == len(brute_license(r.text))
 
 
+def test_any_three_words_outside_the_key_phrase_may_differ(spark):
+    template = next(t for t in licenses.TEMPLATES if t[1].startswith("redistribution"))
+    own, fixed = template[1].split(), len(template[2].split())
+    changed = list(combinations(range(fixed, len(own)), 3))
+    texts = [" ".join("other" if i in c else w for i, w in enumerate(own)) for c in changed]
+    got = licenses.scan_licenses(documents(spark, list(enumerate(texts))), [template]).collect()
+    assert len(got) == len(texts) and all([(s.label, s.start) for s in r.spans] == [("bsd", 0)] for r in got)
+
+
+def test_a_template_without_key_phrase_needs_its_share_of_words(spark):
+    own = [f"w{i}" for i in range(10)]
+    texts = [" ".join("other" if i in c else w for i, w in enumerate(own)) for n in (2, 3) for c in combinations(range(10), n)]
+    got = licenses.scan_licenses(documents(spark, list(enumerate(texts))), [("x", " ".join(own), "")]).collect()
+    assert {r.doc_id for r in got if r.spans} == set(range(45))
+
+
 def test_license_empty_table(spark):
     assert licenses.scan_licenses(documents(spark, [])).collect() == []
