@@ -3,8 +3,8 @@
 Rules allow or block a host with all its subdomains below a path prefix; the longest fitting rule decides a URL.
 Aliases are URLs joined by
 
-* a redirect: the target of a ``<meta http-equiv="refresh">`` of the page,
-* a canonical link: the target of its ``<link rel="canonical">``,
+* a redirect: the target of any ``<meta http-equiv="refresh">`` of the page,
+* a canonical link: the target of any ``<link>`` with ``canonical`` among its ``rel`` tokens,
 * being one address: equal but for scheme, ``www.``, default port, fragment and tracking parameters.
 
 Connected components over these edges carry decisions: a URL without a rule of its own is allowed if any alias is
@@ -38,6 +38,7 @@ RULES = (
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 TRACKING = r"(utm_[a-z]+|gclid|fbclid|ref)"
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
+_CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*(?:[\"']?canonical\b|\"[^\">]*\scanonical\b|'[^'>]*\scanonical\b)[^>]*>"
 _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 _URL = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
@@ -88,10 +89,12 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     """(url, target): redirects and canonical links of pages(url, html)."""
     html = F.col("html")
     low = F.lower(html)
-    canonical = F.when(F.contains(low, F.lit("canonical")), F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1))
-    redirect = F.when(F.contains(low, F.lit("http-equiv")), F.regexp_extract(F.regexp_extract(html, _META, 0), _URL, 1))
+    of_tags = lambda tag, target: F.transform(F.regexp_extract_all(html, F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, target, 1))
+    none = F.array().cast("array<string>")
+    canonical = F.when(F.contains(low, F.lit("canonical")), of_tags(_CANONICAL, _HREF)).otherwise(none)
+    redirect = F.when(F.contains(low, F.lit("http-equiv")), of_tags(_META, _URL)).otherwise(none)
     found = pages.where((F.contains(low, F.lit("canonical")) | F.contains(low, F.lit("http-equiv"))) & F.contains(F.col("url"), F.lit("://")))
-    targets = found.select("url", F.explode(F.array_compact(F.array(canonical, redirect))).alias("target")).where("target <> ''")
+    targets = found.select("url", F.explode(F.array_union(canonical, redirect)).alias("target")).where("target <> ''")
     return targets.select("url", resolved(F.col("target"), F.col("url")).alias("target"))
 
 

@@ -92,6 +92,21 @@ def test_urls_without_an_allowed_alias_are_blocked(spark):
     assert groups([(1, 2), (2, 3)], {1, 2, 3}) == {1: 1, 2: 1, 3: 1}
 
 
+def test_every_tag_of_a_page_is_an_edge(spark):
+    link, meta = '<link rel="{}" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    bad = "http://a.example.com/en/1"
+    rows = [
+        (1, "http://m.org/1", link.format("canonical", "http://m.org/x") + link.format("canonical", bad)),
+        (2, "http://m.org/2", meta.format("http://m.org/y") + meta.format(bad)),
+        (3, "http://m.org/3", link.format("shortlink canonical", bad)),
+        (4, "http://m.org/4", f"<LINK href={bad} REL='alternate  canonical'>"),
+        (5, "http://m.org/5", link.format("shortlink", bad)),
+        (6, "http://m.org/6", '<link rel="canonical">' + link.format("canonical", bad)),
+    ]
+    got = {r.page_id: r.verdict for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "block"}
+
+
 def test_urls_run_no_python_on_executors(spark, folder):
     plan = urls.op10(spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))
