@@ -11,11 +11,12 @@ Words are counted over whole texts and then joined among themselves by a variabl
   earlier one are left out.
 * Affected grams. An edit at a place touches the grams that hold it, the earlier ones whose longest match may grow over it
   (what precedes the place begins a longer gram) and the later ones that a new gram may swallow (what follows the
-  place ends a gram). The most that one edit can touch, NAG, leaves at least |grams| - NAG in both words of a pair.
-* List merging. Of a word with g grams, one of its NAG + 1 rarest is then shared with any word near it, at a place that
-  differs by at most one; only those lists are merged, the long lists never. A list is one gram at one place of words of
-  one length. A word that may lose all its grams offers all of them; two such words, which are short, meet by
-  what is left of them after a deletion.
+  place ends a gram). All others stand in both words of a pair.
+* List merging. As one edit parts a pair, both words agree on all up to the last shared gram before it and on all from the
+  first shared gram after it. The bound of a place says which grams these can be: none farther off than the nearest
+  that an edit there leaves untouched. A word enters one list for each such pair of grams, named by what stands before
+  and after; near words share one, and the long lists of single grams are never merged. A word of which one edit may
+  touch all grams is short; two such words also meet by what is left of them after a deletion.
 * Verification by edit distance.
 
 The decomposition sees 127 letters; code points beyond a-z and the Latin-1 letters share some of them, which only adds
@@ -29,6 +30,7 @@ form go to the smallest word in code-point order. Forms grow by the ratio in cou
 from __future__ import annotations
 
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,7 @@ LEAST_LETTERS = 7
 LEAST_COUNT = 2
 
 _BITS = 7
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 _START, _END = "^", "$"
 
 
@@ -155,13 +158,13 @@ def count_words(documents: DataFrame, least_letters: int = LEAST_LETTERS, one_in
 # ---------------------------------------------------------------- gram index
 
 
-def gram_dictionary(vocabulary: DataFrame, frequent: int = FREQUENT, few: int = FEW) -> tuple[dict[int, np.ndarray], dict[int, int]]:
-    """Longer grams of the dictionary by length, as sorted codes, and the number of places of each gram.
+def gram_dictionary(vocabulary: DataFrame, frequent: int = FREQUENT, few: int = FEW) -> dict[int, np.ndarray]:
+    """Longer grams of the dictionary by length, as sorted codes.
 
-    Reaches the driver: grams of two and three letters that stand in at most frequent * 127 kinds a length, never words.
+    Reaches the driver: the grams of two letters, and at most frequent * 127 of each length above; never words.
     """
     marked = F.concat(F.lit(_START), F.col("word"), F.lit(_END))
-    codes, places = {}, {}
+    codes: dict[int, np.ndarray] = {}
     extensible: list[str] | None = None
     for size in range(LEAST_GRAM, MOST_GRAM + 1):
         gram = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("m") - size + 1, F.lit(1))), lambda i: F.substring("m", i, F.lit(size))))
@@ -169,19 +172,14 @@ def gram_dictionary(vocabulary: DataFrame, frequent: int = FREQUENT, few: int =
         if extensible is not None:
             if not extensible:
                 break
-            grams = grams.join(F.broadcast(vocabulary.sparkSession.createDataFrame([(g,) for g in extensible], "p string")), F.substring("g", 1, size - 1) == F.col("p"), "left_semi")
+            grams = grams.where(F.substring("g", 1, size - 1).isin(extensible))
         rows = grams.groupBy("g").count().collect()
         if size == LEAST_GRAM:
             least = max(few, sum(r[1] for r in rows) / frequent)
-        found = {}
-        for gram_text, n in rows:
-            code = encode_gram(gram_text)
-            found[code] = found.get(code, 0) + n
-        places |= found
-        if size > LEAST_GRAM:
-            codes[size] = np.array(sorted(found), np.int64)
+        else:
+            codes[size] = np.array(sorted({encode_gram(g) for g, _ in rows}), np.int64)
         extensible = [g for g, n in rows if n > least]
-    return codes, places
+    return codes
 
 
 def encode_gram(gram: str) -> int:
@@ -197,21 +195,35 @@ def _among(values: np.ndarray, sorted_codes: np.ndarray) -> np.ndarray:
     return sorted_codes[np.minimum(np.searchsorted(sorted_codes, values), len(sorted_codes) - 1)] == values
 
 
+class Decomposed(NamedTuple):
+    """Letters of marked words end to end; per word where it begins, its length, its grams and the most of them that one edit
+    touches; per gram its word, place, size and code; then pairs of contexts: all of a word up to one place and since another."""
+
+    value: np.ndarray
+    begin: np.ndarray
+    length: np.ndarray
+    owner: np.ndarray
+    place: np.ndarray
+    size: np.ndarray
+    gram: np.ndarray
+    grams: np.ndarray
+    most: np.ndarray
+    upto: np.ndarray
+    since: np.ndarray
+
+
 class GramIndex:
-    """Decomposition of words by a dictionary, and the most grams that one edit of each can touch."""
+    """Decomposition of words by a dictionary, and what one edit of a word leaves untouched."""
 
-    def __init__(self, codes: dict[int, np.ndarray], places: dict[int, int]):
+    def __init__(self, codes: dict[int, np.ndarray]):
         none = np.zeros(0, np.int64)
         self.codes = {size: codes.get(size, none) for size in range(LEAST_GRAM + 1, MOST_GRAM + 1)}
-        known = np.array(sorted(places), np.int64)
-        self.known, self.count = known, np.array([places[c] for c in known.tolist()], np.int64)
         # What begins or ends a longer gram, by length.
         self.heads = {n: np.unique(np.concatenate([self.codes[k] >> (_BITS * (k - n)) for k in self.codes if k > n] or [none])) for n in range(LEAST_GRAM, MOST_GRAM)}
         self.tails = {n: np.unique(np.concatenate([self.codes[k] & ((1 << (_BITS * n)) - 1) for k in self.codes if k > n] or [none])) for n in range(LEAST_GRAM, MOST_GRAM)}
         self.letter = _letters()
 
-    def decompose(self, words: list[str]):
-        """Per gram: its word, place in it and code; per word: marked length, grams and the most that an edit touches."""
+    def decompose(self, words: list[str]) -> Decomposed:
         text = "".join(f"{_START}{w}{_END}" for w in words)
         points = np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 65535)
         value = self.letter[points]
@@ -233,7 +245,7 @@ class GramIndex:
         before = np.concatenate([[0], np.maximum.accumulate(stop)[:-1]])
         at = np.flatnonzero(stop > before)
         # Counts of grams that start before a place and of grams that end at or before it.
-        starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n))])
+        starts = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n + 1))])
         ends = np.cumsum(np.bincount(stop[at], minlength=n + 1))
         first = starts[begin]
         grams = starts[end] - first
@@ -249,37 +261,47 @@ class GramIndex:
             tail[: n - 1] = _among(code[size], self.tails[size])[1:]
             tail &= room > size
             swallow = np.where(tail, place + 1 + size, swallow)
-        low = first[owner]
-        untouched = np.minimum(ends[place], starts[np.maximum(reach, begin[owner])]) - low
-        untouched += low + grams[owner] - np.maximum(starts[place + 1], ends[swallow])
-        touched = grams[owner] - untouched
-        touched[begin] = 0  # no edit before the first mark
-        most = np.maximum.reduceat(touched, begin) if len(words) else np.zeros(0, np.int64)
+        # Of the grams in order, those before ``low`` and from ``high`` on are untouched by an edit at a place.
+        low = np.minimum(ends[place], starts[np.maximum(reach, begin[owner])])
+        high = np.maximum(starts[place + 1], ends[swallow])
+        touched = high - low
+        touched[begin] = 0
+        most = np.maximum.reduceat(touched, begin)
+        # The last gram before an edit that still stands is one of low - 1 .. ends - 1, the first after it one of starts .. high;
+        # what is inserted at a place comes before it, so that a gram which begins there may stand.
+        edit = np.flatnonzero(place > begin[owner])
+        n_left, n_right = (ends[place] - low + 1)[edit], (high - starts[place] + 1)[edit]
+        which = np.repeat(edit, n_left * n_right)
+        step = np.arange(len(which)) - np.repeat(np.cumsum(n_left * n_right) - n_left * n_right, n_left * n_right)
+        across = np.repeat(n_right, n_left * n_right)
+        left, right = low[which] - 1 + step // across, starts[which] + step % across
+        o = owner[which]
+        upto = np.where(left >= first[o], stop[at[np.maximum(left, 0)]], begin[o])
+        since = np.where(right < first[o] + grams[o], at[np.minimum(right, len(at) - 1)], end[o])
+        some = (upto > begin[o]) | (since < end[o])
+        pairs = np.unique(upto[some] * (n + 1) + since[some])
         sizes = size_at[at]
         gram = np.select([sizes == size for size in range(LEAST_GRAM, MOST_GRAM + 1)], [code[size][at] for size in range(LEAST_GRAM, MOST_GRAM + 1)])
-        return owner[at], at - begin[owner[at]], gram, length, grams, most
+        return Decomposed(value, begin, length, owner[at], at - begin[owner[at]], sizes, gram, grams, most, pairs // (n + 1), pairs % (n + 1))
 
     def keys(self, words: list[str]):
-        """Lists that words enter: word number, list key, and whether as the longer word; and which words may lose all grams."""
-        owner, place, gram, length, grams, most = self.decompose(words)
-        slot = np.minimum(np.searchsorted(self.known, gram), max(len(self.known) - 1, 0))
-        rare = np.where(self.known[slot] == gram, self.count[slot], 0) if len(self.known) else np.zeros(len(gram), np.int64)
-        order = np.lexsort((place, gram, rare, owner))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(grams) - grams, grams)
-        chosen = order[rank <= most[owner[order]]]
-        o, p, g = owner[chosen], place[chosen], gram[chosen].astype(np.uint64)
-        own = length[o]
-
-        def key(size, at):
-            return W.mix(W.mix(g * np.uint64(1 << 20) + size.astype(np.uint64)) + at.astype(np.uint64)).view(np.int64)
-
-        number = np.concatenate([o, o, o])
-        keys = np.concatenate([key(own, p), key(own - 1, p), key(own - 1, p - 1)])
-        longer = np.repeat([False, True, True], len(o))
-        return number, keys, longer, grams <= most
+        """Lists that words enter: word number and list key; and which words one edit may touch whole."""
+        d = self.decompose(words)
+        # Hashes of all up to a place of a word and of all from it on, by prefix sums of a polynomial from either end.
+        own = np.repeat(d.length, d.length)
+        place = np.arange(len(d.value)) - np.repeat(d.begin, d.length)
+        power = W.powers(_BASE, int(d.length.max()))
+        letter = W.mix(d.value.astype(np.uint64))
+        forth = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter * power[place], dtype=np.uint64)])
+        back = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letter * power[own - 1 - place], dtype=np.uint64)])
+        number = np.searchsorted(d.begin, d.upto, "right") - 1
+        begin, end = d.begin[number], d.begin[number] + d.length[number]
+        left = W.mix(forth[d.upto] - forth[begin])
+        right = W.mix(back[end] - back[d.since])
+        return number, W.mix(left * _BASE + right).view(np.int64), d.grams <= d.most
 
 
-_LISTS = "key long, word string, n long, longer boolean"
+_LISTS = "key long, word string, n long"
 
 
 def near_words(vocabulary: DataFrame, frequent: int = FREQUENT, few: int = FEW) -> DataFrame:
@@ -288,33 +310,24 @@ def near_words(vocabulary: DataFrame, frequent: int = FREQUENT, few: int = FEW)
     sent = spark.sparkContext.broadcast(gram_dictionary(vocabulary, frequent, few))
 
     def lists(batches):
-        index = GramIndex(*sent.value)
+        index = GramIndex(sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
                 part = batch.slice(at, 4096)
-                number, keys, longer, weak = index.keys(part.column(0).to_pylist())
-                word, n = (part.column(i).take(pa.array(number)) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), word, n, pa.array(longer)], names=["key", "word", "n", "longer"])
+                number, keys, weak = index.keys(part.column(0).to_pylist())
                 # Words that may lose all grams are marked by a missing key.
-                lost = pa.array(np.flatnonzero(weak))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(lost), pa.int64()), part.column(0).take(lost), part.column(1).take(lost), pa.array(np.zeros(len(lost), bool))],
-                    names=["key", "word", "n", "longer"],
-                )
+                lost = np.flatnonzero(weak)
+                which = pa.array(np.concatenate([number, lost]))
+                key = pa.array(np.concatenate([keys, np.zeros(len(lost), np.int64)]), mask=np.arange(len(which)) >= len(number))
+                yield pa.RecordBatch.from_arrays([key, part.column(0).take(which), part.column(1).take(which)], names=["key", "word", "n"])
 
     entries = cut(vocabulary.select("word", F.col("n").cast("long").alias("n")).mapInArrow(lists, _LISTS))
-    short = entries.where("key is null").select("word", "n")
     rest = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
-    left = short.select(F.explode(F.array_distinct(F.concat(F.array("word"), rest))).alias("key"), "word", "n").withColumn("longer", F.lit(False))
+    left = entries.where("key is null").select(F.explode(F.array_distinct(F.concat(F.array("word"), rest))).alias("key"), "word", "n")
 
     def meet(rows: DataFrame) -> DataFrame:
-        one = rows.where("not longer").select("key", F.col("word").alias("w"), F.col("n").alias("m"))
-        pairs = one.join(rows, "key").where((F.col("longer") | (F.col("w") < F.col("word"))) & (F.levenshtein("w", "word", 1) == 1))
-        lower = F.col("w") < F.col("word")
-        return pairs.select(
-            F.least("w", "word").alias("a"), F.when(lower, F.col("m")).otherwise(F.col("n")).alias("n_a"),
-            F.greatest("w", "word").alias("b"), F.when(lower, F.col("n")).otherwise(F.col("m")).alias("n_b"),
-        )
+        first, second = (rows.select("key", F.col("word").alias(w), F.col("n").alias(f"n_{w}")) for w in "ab")
+        return first.join(second, "key").where("a < b").where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
 
     return meet(entries.where("key is not null")).unionByName(meet(left)).distinct()
 
@@ -361,9 +374,9 @@ OP11_SQL = f"""
 WITH RECURSIVE crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t
   FROM (SELECT unnest(range(256)) AS i)),
 run AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents),
-some AS (SELECT doc_id, w, count(*) AS m FROM run WHERE length(w) >= {LEAST_LETTERS} GROUP BY doc_id, w),
+few AS (SELECT doc_id, w, count(*) AS m FROM run WHERE length(w) >= {LEAST_LETTERS} GROUP BY doc_id, w),
 bytes AS (SELECT doc_id, w, m, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)]
-  ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END)) AS b FROM some),
+  ELSE [192 | (unicode(x) >> 6), 128 | (unicode(x) & 63)] END)) AS b FROM few),
 hashed AS (SELECT w, m, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), CAST(b AS BIGINT[])), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc),
 planted AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, m FROM hashed),
 v AS (SELECT w AS word, CAST(sum(m) AS BIGINT) AS n, translate(w, '{_LATIN}', '{_ONE_BYTE}') AS z FROM planted WHERE length(w) >= {LEAST_LETTERS} GROUP BY w HAVING sum(m) >= {LEAST_COUNT}),
