@@ -7,8 +7,14 @@ row per run of windows with one anchor (about thirteen), holding the document, t
 Each window is shuffled once, as eight bytes.
 
 A map task first settles what it can: of equal windows it has seen, only the document with the smallest id needs an
-answer from elsewhere, the others are removed already. So an anchor, however common, reaches its reducer at most once
-a task and document, and runs of a text of which a task has seen every window in a smaller document are not sent.
+answer from elsewhere, the others are removed already. So a window, however common, reaches its reducer at most once
+a flush of a task, and runs of a text of which a task has seen every window in a smaller document are not sent.
+
+Windows that run over the end of a passage many documents share are each the only one of their kind, but have the
+passage's anchor in common. Anchors that stand in many documents are found beforehand, by counting those of one
+document in SAMPLE_ONE_IN; windows under them travel by their own hash instead, one row each, so that only equal windows
+meet. At most MOST_HOT anchors are sent to the tasks. Which way a window goes changes no result.
+
 Reducers read rows sorted by anchor, a few thousand at a time, and compare hashes; what they return are runs of removed
 windows, merged into maximal intervals for each document.
 
@@ -29,11 +35,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairloom.llm import words as W
-from pairloom.llm.tables import id_and_text, read
+from pairloom.llm.tables import cut, discard, id_and_text, read
 
 WINDOW = 50
 ANCHOR = 25
 FLUSH = 1 << 20
+# An anchor is hot from HOT_DOCUMENTS runs of the documents looked at, or from the share that leaves MOST_HOT of them.
+SAMPLE_ONE_IN, HOT_DOCUMENTS, MOST_HOT = 16, 64, 50_000
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _RUNS = pa.schema([("anchor", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("hashes", pa.binary())])
@@ -123,10 +131,46 @@ def _as_runs(cuts: pa.RecordBatch) -> pa.RecordBatch:
     )
 
 
-def _map_windows(window: int, anchor: int):
+def _anchor_rows(window: int, anchor: int):
+    """(anchor) for every run of windows of a text that share it."""
+
+    def run(batches):
+        for batch in batches:
+            for group in W.iter_words(batch.column(0), W.VISIBLE, W.SAME):
+                sizes = np.diff(group.bounds) - window + 1
+                if not (sizes > 0).any():
+                    continue
+                least = _sliding_least(rolling(group.hashes, anchor), window - anchor + 1)
+                rows = np.flatnonzero(sizes > 0)
+                n = sizes[rows]
+                at = np.repeat(group.bounds[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                found = least[at]
+                new = np.ones(len(found), bool)
+                new[1:] = found[1:] != found[:-1]
+                new[np.cumsum(n)[:-1]] = True
+                yield pa.RecordBatch.from_arrays([pa.array(found[new].view(np.int64))], names=["anchor"])
+
+    return run
+
+
+def hot_anchors(docs: DataFrame, window: int, anchor: int) -> np.ndarray:
+    """Sorted anchors under which windows of many documents would meet; docs has doc_id and text."""
+    some = docs.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id", "text"), F.lit(SAMPLE_ONE_IN)) == 0)
+    counts = some.select("text").mapInArrow(_anchor_rows(window, anchor), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    often = cut(counts.where(F.col("n") >= HOT_DOCUMENTS))
+    least = max(HOT_DOCUMENTS, -(-(often.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
+    found = [row[0] for row in often.where(F.col("n") >= least).select("anchor").collect()]
+    discard(often)
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def _map_windows(window: int, anchor: int, hot: np.ndarray):
     def flush(parts):
         docs, keys, place, anchors, hashes = (np.concatenate(x) for x in zip(*parts))
         later, first = _settle(docs, hashes)
+        if len(hot):
+            common = hot[np.minimum(np.searchsorted(hot, anchors), len(hot) - 1)] == anchors
+            anchors = np.where(common, hashes, anchors)
         yield _pack_runs(anchors, docs, keys, place, hashes, first)
         cuts = _cut_runs(docs, keys, place, later)
         if cuts.num_rows:
@@ -210,11 +254,17 @@ def _match(rows: pa.Table) -> pa.RecordBatch:
     )
 
 
-def repeated_windows(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, start, n): runs of n windows, from word start on, that also start in a smaller document."""
+def window_runs(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(anchor, doc_id, text_key, start, hashes): packed windows that only a comparison with other documents settles."""
     anchor = max(1, min(ANCHOR, window // 2))
     docs = id_and_text(documents, id_col, text_col).where("doc_id is not null and text is not null")
-    runs = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_map_windows(window, anchor), _RUNS_SQL)
+    hot = hot_anchors(docs, window, anchor)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_map_windows(window, anchor, hot), _RUNS_SQL)
+
+
+def repeated_windows(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, start, n): runs of n windows, from word start on, that also start in a smaller document."""
+    runs = window_runs(documents, window, id_col, text_col)
     return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match_windows, _CUTS_SQL)
 
 

@@ -115,6 +115,18 @@ def test_substrings_equal_brute_force(spark, corpus, window):
         assert sum(b - a for a, b in r.removed) == r.n_removed and all(x[1] < y[0] for x, y in zip(r.removed, r.removed[1:]))
 
 
+@pytest.mark.parametrize("header", [49, 120])
+def test_a_header_of_many_documents_fills_no_key(spark, header):
+    rng = random.Random(header)
+    top = " ".join(f"h{i}" for i in range(header))
+    rows = [(i, f"{top} {prose(rng, 60, 5000)}") for i in range(3000)] + [(5000 + i, prose(rng, 80)) for i in range(20)]
+    docs = documents(spark, rows).repartition(4).cache()
+    most = substrings.window_runs(docs).groupBy("anchor").count().agg({"count": "max"}).first()[0]
+    assert most <= 200, most  # one row a task and window, or a share too small to be noticed
+    got = substrings.remove_repeats(docs).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_removed(rows, 50)
+
+
 def test_without_repeats_keeps_columns_and_other_texts(spark, corpus):
     docs = documents(spark, corpus)
     got = substrings.without_repeats(docs)
