@@ -134,26 +134,30 @@ def with_length_shape(df: DataFrame, key: str = "cid", tokens: str = "tokens") -
     return df.join(shape, key, "left").withColumn("shape", F.coalesce("shape", empty))
 
 
-def rare_name_pairs(
-    profiles: DataFrame, max_df: int = K.MAX_DOCUMENT_FREQUENCY, min_surface: int = K.MIN_SURFACE, keep: Column | None = None
-) -> DataFrame:
-    """Pairs sharing a surface name that at most ``max_df`` units use, with counts only.
+def rare_name_postings(profiles: DataFrame, max_df: int = K.MAX_DOCUMENT_FREQUENCY, min_surface: int = K.MIN_SURFACE) -> DataFrame:
+    """(name, cid, lines, names, frequent, mass, copies): surface names that at most ``max_df`` units use, by class.
 
-    Columns: a, b, common (shared rare names) and, per side, lines, names, frequent (names too frequent to pair
-    by) and mass (histogram total). The frequency bound is part of the operator, so a name yields at most
-    max_df^2/2 pairs. The most frequent names leave through a bounded broadcast before the shuffle by name.
-    ``keep`` may reject pairs by their scalars inside the join.
+    Per class: its names, those too frequent to pair by, its histogram total and its copies, each of which counts as a
+    unit that uses the name. The most frequent names leave through a bounded broadcast before the shuffle by name.
     """
     mass = F.aggregate(F.map_values("shape"), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
     names = profiles.where(F.size("surface") >= min_surface).select(
-        "cid", "lines", F.size("surface").alias("names"), mass.alias("mass"), F.explode("surface").alias("name")
+        "cid", "lines", F.size("surface").alias("names"), mass.alias("mass"), "copies", F.explode("surface").alias("name")
     )
-    rare = names.groupBy("name").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= max_df).select("name")
+    rare = names.groupBy("name").agg(F.sum("copies").alias("df")).where(F.col("df") <= max_df).select("name")
     hot = hot_keys(names, "name", max_df).select("name")
     kept = names.join(F.broadcast(hot), "name", "left_anti").join(rare, "name")
     rare_names = F.count(F.lit(1)).over(Window.partitionBy("cid"))
-    postings = cut_lineage(kept.withColumn("name", F.xxhash64("name")).withColumn("frequent", (F.col("names") - rare_names).cast("int")))
-    facts = ("lines", "names", "frequent", "mass")
+    return cut_lineage(kept.withColumn("name", F.xxhash64("name")).withColumn("frequent", (F.col("names") - rare_names).cast("int")))
+
+
+def pairs_of_postings(postings: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Pairs of classes with a rare name in common: a, b, common (such names) and both sides' figures.
+
+    The frequency bound is part of the operator, so a name yields at most max_df^2/2 pairs. ``keep`` may reject pairs
+    by their scalars inside the join.
+    """
+    facts = ("lines", "names", "frequent", "mass", "copies")
     left = postings.select("name", F.col("cid").alias("a"), *[F.col(c).alias(f"{c}_a") for c in facts])
     right = postings.select("name", F.col("cid").alias("b"), *[F.col(c).alias(f"{c}_b") for c in facts])
     sides = [f"{c}_{s}" for c in facts for s in ("a", "b")]
@@ -191,10 +195,13 @@ def low_overlap_decisions(
 
     With ``only_proposed`` the pairs that cannot be proposed by their sizes alone leave inside the join.
 
-    ``profiles`` has cid, lines, items (shingle hashes), surface and shape. Most pairs are settled from counts:
-    the line ratio, membership in the pairs of high overlap, or an upper bound of the score. Only the rest
-    is joined with sets and histograms.
+    ``profiles`` has cid, lines, items (shingle hashes), surface, shape and copies (1 if left out). Most pairs are
+    settled from counts: the line ratio, membership in the pairs of high overlap, or an upper bound of the score. Only
+    the rest is joined with sets and histograms. ``pairs`` counts the unit pairs a row stands for; copies inside a class
+    are the row with a = b: of high overlap, or proposed where they are too short for a shingle.
     """
+    if "copies" not in profiles.columns:
+        profiles = profiles.withColumn("copies", F.lit(1).cast("bigint"))
     profiles = cut_lineage(profiles)
     sets = profiles.where(F.size("items") > 0).select("cid", "lines", "items")
     close = attach(cut_lineage(candidate_pairs(sets, min_jaccard, min_size_ratio)), sets.select("cid", "items"))
@@ -205,21 +212,29 @@ def low_overlap_decisions(
     # Before names are counted, the smaller surface bounds what two units can share.
     reachable = (M.size_ratio(F.col("names_a"), F.col("names_b")) + M.size_ratio(F.col("mass_a"), F.col("mass_b"))) / F.lit(2.0)
     keep = (ratio >= min_size_ratio) & (reachable >= min_score - SLACK) if only_proposed else None
-    counted = rare_name_pairs(profiles, keep=keep).select("a", "b", ratio.alias("size_ratio"), bound.alias("_bound"))
+    postings = rare_name_postings(profiles)
+    counted = pairs_of_postings(postings, keep).select("a", "b", (F.col("copies_a") * F.col("copies_b")).alias("pairs"), ratio.alias("size_ratio"), bound.alias("_bound"))
     early = F.when(F.col("size_ratio") < min_size_ratio, "size_ratio").when(F.col("_close"), "high_overlap").when(F.col("_bound") < min_score - SLACK, "score")
-    settled = cut_lineage(counted.join(close, ["a", "b"], "left").select("a", "b", "size_ratio", early.alias("reason")))
+    settled = cut_lineage(counted.join(close, ["a", "b"], "left").select("a", "b", "pairs", "size_ratio", early.alias("reason")))
     open_pairs = attach(settled.where(F.col("reason").isNull()).drop("reason"), profiles.select("cid", "surface", "shape"))
     scored = open_pairs.select(
-        "a", "b", "size_ratio", M.jaccard(F.col("surface_a"), F.col("surface_b")).alias("surface_jaccard"),
+        "a", "b", "pairs", "size_ratio", M.jaccard(F.col("surface_a"), F.col("surface_b")).alias("surface_jaccard"),
         M.shape_similarity(F.col("shape_a"), F.col("shape_b")).alias("shape_similarity"),
     ).withColumn("score", (F.col("surface_jaccard") + F.col("shape_similarity")) / F.lit(2.0))
     scored = cut_lineage(scored)
     good = attach(scored.where(F.col("score") >= min_score), profiles.select("cid", "items"))
-    proposed = good.select("a", "b", F.lit("proposed").alias("reason"), M.jaccard(F.col("items_a"), F.col("items_b")).alias("jaccard"), *FACTS[1:])
+    proposed = good.select("a", "b", "pairs", F.lit("proposed").alias("reason"), M.jaccard(F.col("items_a"), F.col("items_b")).alias("jaccard"), *FACTS[1:])
     blank = [F.lit(None).cast("double").alias(c) for c in FACTS]
-    rejected = scored.where(F.col("score") < min_score).select("a", "b", F.lit("score").alias("reason"), *blank)
-    decided = settled.where(F.col("reason").isNotNull()).select("a", "b", "reason", *blank)
-    return proposed.unionByName(rejected).unionByName(decided)
+    rejected = scored.where(F.col("score") < min_score).select("a", "b", "pairs", F.lit("score").alias("reason"), *blank)
+    decided = settled.where(F.col("reason").isNotNull()).select("a", "b", "pairs", "reason", *blank)
+    n = F.col("copies")
+    inside = postings.where(n > 1).select("cid", "copies").distinct().join(profiles.select("cid", (F.size("items") > 0).alias("_shingled")), "cid")
+    own = lambda c: F.when(~F.col("_shingled"), F.lit(c)).cast("double")
+    same = inside.select(
+        F.col("cid").alias("a"), F.col("cid").alias("b"), F.floor(n * (n - 1) / 2).cast("bigint").alias("pairs"),
+        F.when(F.col("_shingled"), "high_overlap").otherwise("proposed").alias("reason"), own(0.0).alias("jaccard"), *[own(1.0).alias(c) for c in FACTS[1:]],
+    )
+    return proposed.unionByName(rejected).unionByName(decided).unionByName(same)
 
 
 def low_overlap_pairs(profiles: DataFrame, **options) -> DataFrame:
@@ -239,11 +254,12 @@ def overlapping(a: str, b: str, columns: list[str]) -> Column:
 
 
 def bounded_pairs(sets: DataFrame, min_j: float, max_j: float, **tuning) -> DataFrame:
-    """Pairs with min_j <= Jaccard < max_j."""
+    """Pairs with min_j <= Jaccard < max_j; with ``copies`` also the number of unit pairs each stands for."""
     sets = cut_lineage(sets)
     pairs = attach(cut_lineage(candidate_pairs(sets, min_j, **tuning)), sets)
     j = M.jaccard(F.col("items_a"), F.col("items_b"))
-    return pairs.withColumn("jaccard", j).where((j >= min_j) & (j < max_j)).select("a", "b", "jaccard")
+    many = [(F.col("copies_a") * F.col("copies_b")).alias("pairs")] if "copies" in sets.columns else []
+    return pairs.withColumn("jaccard", j).where((j >= min_j) & (j < max_j)).select("a", "b", "jaccard", *many)
 
 
 def token_coverage(pairs: DataFrame, k: int, name: str) -> DataFrame:

@@ -99,15 +99,15 @@ def profiles(spark, folder):
 
 def shaped(classes):
     words = F.array_distinct(F.filter("tokens", lambda t: F.length(t) >= SURFACE_LENGTH))
-    written = cut_lineage(classes.select("cid", "lines", "items", "tokens"))
-    return S.with_length_shape(written).select("cid", "lines", "items", words.alias("surface"), "shape")
+    written = cut_lineage(classes.select("cid", "lines", "copies", "items", "tokens"))
+    return S.with_length_shape(written).select("cid", "lines", "copies", "items", words.alias("surface"), "shape")
 
 
 SQL_PROFILES = f"""{B.SQL_CLASSES},
-pool AS (SELECT cid, lines, items, list_distinct(list_filter(tokens, lambda t: len(t) >= {SURFACE_LENGTH})) AS surface, tokens
+pool AS (SELECT cid, lines, copies, items, list_distinct(list_filter(tokens, lambda t: len(t) >= {SURFACE_LENGTH})) AS surface, tokens
   FROM classes WHERE lines >= {K.MIN_LINES}),
-names AS (SELECT cid, unnest(surface) AS name FROM pool WHERE len(surface) >= {K.MIN_SURFACE}),
-rare AS (SELECT name FROM names GROUP BY name HAVING count(*) <= {K.MAX_DOCUMENT_FREQUENCY}),
+names AS (SELECT cid, copies, unnest(surface) AS name FROM pool WHERE len(surface) >= {K.MIN_SURFACE}),
+rare AS (SELECT name FROM names GROUP BY name HAVING sum(copies) <= {K.MAX_DOCUMENT_FREQUENCY}),
 post AS (SELECT cid, name FROM names JOIN rare USING (name)),
 cand AS (SELECT DISTINCT x.cid AS a, y.cid AS b FROM post x JOIN post y ON x.name = y.name AND x.cid < y.cid),
 sf AS (SELECT x.cid AS a, y.cid AS b, count(*) AS common FROM names x JOIN names y ON x.name = y.name AND x.cid < y.cid GROUP BY 1, 2),
@@ -116,26 +116,29 @@ sc AS (SELECT x.cid AS a, y.cid AS b, count(*) AS common FROM shi x JOIN shi y O
 hist AS (SELECT cid, len(t) AS k, count(*) AS n FROM (SELECT cid, unnest(tokens) AS t FROM pool) GROUP BY 1, 2),
 tot AS (SELECT cid, sum(n) AS n FROM hist GROUP BY cid),
 lo AS (SELECT c.a, c.b, sum(least(x.n, y.n)) AS lo FROM cand c JOIN hist x ON x.cid = c.a JOIN hist y ON y.cid = c.b AND y.k = x.k GROUP BY 1, 2),
-facts AS (SELECT c.a, c.b, CAST(least(p.lines, q.lines) AS DOUBLE) / CAST(greatest(p.lines, q.lines) AS DOUBLE) AS size_ratio,
+facts AS (SELECT c.a, c.b, p.copies * q.copies AS pairs, CAST(least(p.lines, q.lines) AS DOUBLE) / CAST(greatest(p.lines, q.lines) AS DOUBLE) AS size_ratio,
   coalesce(sc.common, 0) / CAST(greatest(len(p.items) + len(q.items) - coalesce(sc.common, 0), 1) AS DOUBLE) AS jaccard,
   coalesce(sf.common, 0) / CAST(greatest(len(p.surface) + len(q.surface) - coalesce(sf.common, 0), 1) AS DOUBLE) AS surface_jaccard,
   CAST(coalesce(lo.lo, 0) AS DOUBLE) / CAST(tp.n + tq.n - coalesce(lo.lo, 0) AS DOUBLE) AS shape_similarity
   FROM cand c JOIN pool p ON p.cid = c.a JOIN pool q ON q.cid = c.b JOIN tot tp ON tp.cid = c.a JOIN tot tq ON tq.cid = c.b
   LEFT JOIN sc ON sc.a = c.a AND sc.b = c.b LEFT JOIN sf ON sf.a = c.a AND sf.b = c.b LEFT JOIN lo ON lo.a = c.a AND lo.b = c.b),
-decided AS (SELECT *, (surface_jaccard + shape_similarity) / CAST(2 AS DOUBLE) AS score,
+between AS (SELECT *, (surface_jaccard + shape_similarity) / CAST(2 AS DOUBLE) AS score,
   CASE WHEN size_ratio < CAST({K.MIN_SIZE_RATIO} AS DOUBLE) THEN 'size_ratio' WHEN jaccard >= CAST({K.MIN_JACCARD} AS DOUBLE) THEN 'high_overlap'
-  WHEN (surface_jaccard + shape_similarity) / CAST(2 AS DOUBLE) >= CAST({LOW_SCORE} AS DOUBLE) THEN 'proposed' ELSE 'score' END AS reason FROM facts)"""
+  WHEN (surface_jaccard + shape_similarity) / CAST(2 AS DOUBLE) >= CAST({LOW_SCORE} AS DOUBLE) THEN 'proposed' ELSE 'score' END AS reason FROM facts),
+decided AS (SELECT a, b, pairs, size_ratio, jaccard, surface_jaccard, shape_similarity, score, reason FROM between UNION ALL
+  SELECT cid, cid, copies * (copies - 1) // 2, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CAST(1 AS DOUBLE), CASE WHEN len(items) > 0 THEN 'high_overlap' ELSE 'proposed' END
+  FROM pool WHERE copies > 1 AND cid IN (SELECT cid FROM post))"""
 
 
 def pair_decision_reasons(spark, folder):
-    """How many candidate pairs of the second source end at each reason."""
+    """How many candidate pairs of the second source end at each reason, of classes and of the units they stand for."""
     decided = S.low_overlap_decisions(profiles(spark, folder), min_score=LOW_SCORE)
-    return decided.groupBy("reason").agg(F.count(F.lit(1)).alias("pairs"))
+    return decided.groupBy("reason").agg(F.count(F.lit(1)).alias("class_pairs"), F.sum("pairs").alias("pairs"))
 
 
 QUERIES["pair_decision_reasons"] = (
     pair_decision_reasons,
-    f"WITH {SQL_PROFILES} SELECT reason, CAST(count(*) AS BIGINT) AS pairs FROM decided GROUP BY reason",
+    f"WITH {SQL_PROFILES} SELECT reason, CAST(count(*) AS BIGINT) AS class_pairs, CAST(sum(pairs) AS BIGINT) AS pairs FROM decided GROUP BY reason",
 )
 
 FACTS = ["a", "b", "jaccard", "size_ratio", "surface_jaccard", "shape_similarity", "score"]
@@ -143,7 +146,7 @@ FACTS = ["a", "b", "jaccard", "size_ratio", "surface_jaccard", "shape_similarity
 
 def low_overlap_pairs(spark, folder):
     """Best pairs of the second source; the ones beyond the cap stay as rows marked so."""
-    found = S.low_overlap_pairs(profiles(spark, folder), min_score=LOW_SCORE).select(*FACTS)
+    found = S.low_overlap_pairs(profiles(spark, folder), min_score=LOW_SCORE).select(*FACTS, "pairs")
     rows = ranked(found, [], [F.col("score").desc(), "a", "b"])
     return rows.withColumn(
         "disposition", F.when(F.col("rank") <= K.LOW_OVERLAP_CAP, "kept").otherwise("low_overlap_cap")
@@ -153,32 +156,32 @@ def low_overlap_pairs(spark, folder):
 QUERIES["low_overlap_pairs"] = (
     low_overlap_pairs,
     f"""WITH {SQL_PROFILES}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, a, b) AS rank FROM decided WHERE reason = 'proposed')
-SELECT {', '.join(FACTS)}, CAST(rank AS BIGINT) AS rank,
+SELECT {', '.join(FACTS)}, CAST(pairs AS BIGINT) AS pairs, CAST(rank AS BIGINT) AS rank,
   CASE WHEN rank <= {K.LOW_OVERLAP_CAP} THEN 'kept' ELSE 'low_overlap_cap' END AS disposition FROM r""",
 )
 
 
 def rarest_names(spark, folder):
     """Surface names the second source may use, rarest first."""
-    names = profiles(spark, folder).where(F.size("surface") >= K.MIN_SURFACE).select(F.explode("surface").alias("name"))
-    counts = names.groupBy("name").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") <= K.MAX_DOCUMENT_FREQUENCY)
+    names = profiles(spark, folder).where(F.size("surface") >= K.MIN_SURFACE).select("copies", F.explode("surface").alias("name"))
+    counts = names.groupBy("name").agg(F.sum("copies").alias("df")).where(F.col("df") <= K.MAX_DOCUMENT_FREQUENCY)
     return ranked(counts, [], ["df", "name"])
 
 
 QUERIES["rarest_names"] = (
     rarest_names,
-    f"""WITH {SQL_PROFILES}, n AS (SELECT name, count(*) AS df FROM names GROUP BY name HAVING count(*) <= {K.MAX_DOCUMENT_FREQUENCY})
+    f"""WITH {SQL_PROFILES}, n AS (SELECT name, sum(copies) AS df FROM names GROUP BY name HAVING sum(copies) <= {K.MAX_DOCUMENT_FREQUENCY})
 SELECT name, CAST(df AS BIGINT) AS df, CAST(row_number() OVER (ORDER BY df, name) AS BIGINT) AS rank FROM n""",
 )
 
 
 def pair_sources(spark, folder):
-    """Both sources in one table; their Jaccard ranges are disjoint, so no pair comes twice."""
-    first = B.similar(spark, folder).where(F.col("a") != F.col("b")).select(
-        "a", "b", "jaccard", F.lit("token_shingles_not_semantic_equivalence").alias("provenance")
+    """Both sources in one table; their Jaccard ranges are disjoint, so no pair comes twice. Copies are the row with a = b."""
+    first = B.similar(spark, folder).select(
+        "a", "b", "jaccard", "pairs", F.lit("token_shingles_not_semantic_equivalence").alias("provenance")
     )
     second = S.low_overlap_pairs(profiles(spark, folder), min_score=LOW_SCORE).select(
-        "a", "b", "jaccard", F.lit("shared_surface_not_semantic_equivalence").alias("provenance")
+        "a", "b", "jaccard", "pairs", F.lit("shared_surface_not_semantic_equivalence").alias("provenance")
     )
     return first.unionByName(second)
 
@@ -186,8 +189,8 @@ def pair_sources(spark, folder):
 QUERIES["pair_sources"] = (
     pair_sources,
     f"""WITH {SQL_PROFILES}, {B.SQL_SIMS}
-SELECT a, b, jaccard, 'token_shingles_not_semantic_equivalence' AS provenance FROM sims WHERE a <> b
-UNION ALL SELECT a, b, jaccard, 'shared_surface_not_semantic_equivalence' FROM decided WHERE reason = 'proposed'""",
+SELECT a, b, jaccard, CAST(pairs AS BIGINT) AS pairs, 'token_shingles_not_semantic_equivalence' AS provenance FROM sims
+UNION ALL SELECT a, b, jaccard, CAST(pairs AS BIGINT), 'shared_surface_not_semantic_equivalence' FROM decided WHERE reason = 'proposed'""",
 )
 
 
@@ -246,13 +249,14 @@ SELECT cluster, CAST(count(*) AS BIGINT) AS members, CAST(sum(copies) AS BIGINT)
 # --- pair features ----------------------------------------------------------------------------------
 
 def pair_features(spark, folder):
-    pairs = B.similar(spark, folder).where(F.col("a") != F.col("b")).select("a", "b", "jaccard")
+    """Features of every similar pair; a class of copies is the row with a = b, and pairs counts what a row stands for."""
+    pairs = B.similar(spark, folder).select("a", "b", "jaccard", "pairs")
     rows = S.attach(cut_lineage(pairs), B.classes(spark, folder).select("cid", "lines", "tokens"))
     a, b = F.col("tokens_a"), F.col("tokens_b")
     a_small = F.size(a) <= F.size(b)
     base = cut_lineage(rows.select("*", F.when(a_small, a).otherwise(b).alias("small"), F.when(a_small, b).otherwise(a).alias("other")))
     narrow = base.select(
-        "a", "b", F.col("jaccard").alias("shingle_jaccard"), M.jaccard(F.array_distinct(a), F.array_distinct(b)).alias("vocab_jaccard"),
+        "a", "b", "pairs", F.col("jaccard").alias("shingle_jaccard"), M.jaccard(F.array_distinct(a), F.array_distinct(b)).alias("vocab_jaccard"),
         F.least("lines_a", "lines_b").alias("min_lines"), M.size_ratio(F.col("lines_a"), F.col("lines_b")).alias("size_ratio"),
         F.size("small").cast("bigint").alias("min_tokens"),
     )
@@ -274,12 +278,12 @@ c{k} AS (SELECT a, b, count(DISTINCT p) AS covered FROM
 QUERIES["pair_features"] = (
     pair_features,
     f"""WITH {B.SQL_CLASS_PAIRS},
-feat AS (SELECT s.a, s.b, s.jaccard, s.size_ratio, p.lines AS la, q.lines AS lb, p.tokens AS ta, q.tokens AS tb,
+feat AS (SELECT s.a, s.b, s.pairs, s.jaccard, s.size_ratio, p.lines AS la, q.lines AS lb, p.tokens AS ta, q.tokens AS tb,
   CASE WHEN len(p.tokens) <= len(q.tokens) THEN p.tokens ELSE q.tokens END AS sm,
   CASE WHEN len(p.tokens) <= len(q.tokens) THEN q.tokens ELSE p.tokens END AS ot
-  FROM sims s JOIN classes p ON p.cid = s.a JOIN classes q ON q.cid = s.b WHERE s.a <> s.b),
+  FROM sims s JOIN classes p ON p.cid = s.a JOIN classes q ON q.cid = s.b),
 {_sql_cover(10)}, {_sql_cover(50)}
-SELECT f.a, f.b, f.jaccard AS shingle_jaccard,
+SELECT f.a, f.b, CAST(f.pairs AS BIGINT) AS pairs, f.jaccard AS shingle_jaccard,
   len(list_intersect(ta, tb)) / CAST(greatest(len(list_distinct(ta)) + len(list_distinct(tb)) - len(list_intersect(ta, tb)), 1) AS DOUBLE) AS vocab_jaccard,
   CASE WHEN len(sm) > 0 THEN CAST(coalesce(c10.covered, 0) AS DOUBLE) / len(sm) ELSE CAST(0 AS DOUBLE) END AS coverage_10,
   CASE WHEN len(sm) > 0 THEN CAST(coalesce(c50.covered, 0) AS DOUBLE) / len(sm) ELSE CAST(0 AS DOUBLE) END AS coverage_50,
@@ -289,10 +293,10 @@ FROM feat f LEFT JOIN c10 USING (a, b) LEFT JOIN c50 USING (a, b)""",
 
 
 def shape_similarity_pairs(spark, folder):
-    """Histogram similarity of the similar pairs."""
-    rows = B.similar(spark, folder).where(F.col("a") != F.col("b")).select("a", "b")
+    """Histogram similarity of the similar pairs; a class of copies is the row with a = b."""
+    rows = B.similar(spark, folder).select("a", "b", "pairs")
     joined = S.attach(rows, S.with_length_shape(B.classes(spark, folder).select("cid", "tokens")).select("cid", "shape"))
-    return joined.select("a", "b", M.shape_similarity(F.col("shape_a"), F.col("shape_b")).alias("shape_similarity"))
+    return joined.select("a", "b", "pairs", M.shape_similarity(F.col("shape_a"), F.col("shape_b")).alias("shape_similarity"))
 
 
 QUERIES["shape_similarity_pairs"] = (
@@ -300,18 +304,18 @@ QUERIES["shape_similarity_pairs"] = (
     f"""WITH {B.SQL_CLASS_PAIRS},
 hist AS (SELECT cid, len(t) AS k, count(*) AS n FROM (SELECT cid, unnest(tokens) AS t FROM classes) GROUP BY 1, 2),
 tot AS (SELECT cid, sum(n) AS n FROM hist GROUP BY cid),
-lo AS (SELECT a, b, sum(least(x.n, y.n)) AS lo FROM sims JOIN hist x ON x.cid = a JOIN hist y ON y.cid = b AND y.k = x.k WHERE a <> b GROUP BY 1, 2)
-SELECT a, b, CAST(lo AS DOUBLE) / CAST(tp.n + tq.n - lo AS DOUBLE) AS shape_similarity FROM lo JOIN tot tp ON tp.cid = a JOIN tot tq ON tq.cid = b""",
+lo AS (SELECT a, b, any_value(pairs) AS pairs, sum(least(x.n, y.n)) AS lo FROM sims JOIN hist x ON x.cid = a JOIN hist y ON y.cid = b AND y.k = x.k GROUP BY 1, 2)
+SELECT a, b, CAST(pairs AS BIGINT) AS pairs, CAST(lo AS DOUBLE) / CAST(tp.n + tq.n - lo AS DOUBLE) AS shape_similarity FROM lo JOIN tot tp ON tp.cid = a JOIN tot tq ON tq.cid = b""",
 )
 
 
 def tail_pairs(spark, folder):
     """Pairs in a half-open Jaccard range, no line ratio asked."""
-    sets = B.classes(spark, folder).where(F.size("items") > 0).select("cid", "lines", "items")
+    sets = B.classes(spark, folder).where(F.size("items") > 0).select("cid", "lines", "copies", "items")
     return S.bounded_pairs(sets, 0.3, 0.8)
 
 
 QUERIES["tail_pairs"] = (
     tail_pairs,
-    f"WITH {B.SQL_CLASS_PAIRS} SELECT a, b, jaccard FROM pj WHERE jaccard >= CAST(0.3 AS DOUBLE) AND jaccard < CAST(0.8 AS DOUBLE)",
+    f"WITH {B.SQL_CLASS_PAIRS} SELECT a, b, jaccard, CAST(pairs AS BIGINT) AS pairs FROM pj WHERE jaccard >= CAST(0.3 AS DOUBLE) AND jaccard < CAST(0.8 AS DOUBLE)",
 )

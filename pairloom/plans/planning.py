@@ -21,9 +21,11 @@ QUERIES: dict = {}
 
 
 def unit_formation(spark, folder):
-    """Function units, then pair units; the number of the unit follows that order."""
-    functions = table(spark, folder, "documents").select(F.lit(0).alias("k"), F.lit("function").alias("kind"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
-    pairs = B.similar(spark, folder).where(F.col("a") != F.col("b")).select(F.lit(1).alias("k"), F.lit("clone_pair").alias("kind"), "a", "b")
+    """Function units, then pair units; the number of the unit follows that order. A class of copies is the pair unit of
+    its representative with itself, and pairs counts the pairs a unit stands for."""
+    one = F.lit(1).cast("bigint").alias("pairs")
+    functions = table(spark, folder, "documents").select(F.lit(0).alias("k"), F.lit("function").alias("kind"), F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), one)
+    pairs = B.similar(spark, folder).select(F.lit(1).alias("k"), F.lit("clone_pair").alias("kind"), "a", "b", "pairs")
     rows = functions.unionByName(pairs)
     keyed = rows.withColumn("unit_id", F.sha2(F.concat_ws("|", "kind", F.col("a").cast("string"), F.col("b").cast("string")), 256))
     return ranked(keyed, [], ["k", "a", "b"], name="number").drop("k")
@@ -31,8 +33,8 @@ def unit_formation(spark, folder):
 
 QUERIES["unit_formation"] = (
     unit_formation,
-    f"""WITH {B.SQL_CLASS_PAIRS}, u AS (SELECT 0 AS k, 'function' AS kind, doc_id AS a, doc_id AS b FROM documents UNION ALL SELECT 1, 'clone_pair', a, b FROM sims WHERE a <> b)
-SELECT kind, a, b, sha256(kind || '|' || a || '|' || b) AS unit_id, CAST(row_number() OVER (ORDER BY k, a, b) AS BIGINT) AS number FROM u""",
+    f"""WITH {B.SQL_CLASS_PAIRS}, u AS (SELECT 0 AS k, 'function' AS kind, doc_id AS a, doc_id AS b, 1 AS pairs FROM documents UNION ALL SELECT 1, 'clone_pair', a, b, pairs FROM sims)
+SELECT kind, a, b, CAST(pairs AS BIGINT) AS pairs, sha256(kind || '|' || a || '|' || b) AS unit_id, CAST(row_number() OVER (ORDER BY k, a, b) AS BIGINT) AS number FROM u""",
 )
 
 

@@ -467,23 +467,6 @@ FROM b LEFT JOIN (SELECT lang, CAST(count(*) AS BIGINT) AS n_sufficient FROM k G
 )
 
 
-def hard_negatives(spark, folder):
-    """Negatives whose feature is at least as high as a bar: count, mean score, rate at the cut."""
-    rows = scored(spark, folder).where((F.col("quality") != 1) & (F.col("n_chars") >= 800))
-    cents = F.floor(F.col("p1") * 100 + F.lit(0.5)).cast("bigint")
-    return rows.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n"), (F.sum(cents).cast("double") / 100.0 / F.count(F.lit(1))).alias("mean_p"),
-        (F.count_if(F.col("p1") >= CUT).cast("double") / F.count(F.lit(1))).alias("at_cut"),
-    )
-
-
-QUERIES["hard_negatives"] = (
-    hard_negatives,
-    f"""WITH {SQL_S} SELECT lang, CAST(count(*) AS BIGINT) AS n, {D(f'sum(CAST(floor(p1 * 100 + {D(0.5)}) AS BIGINT))')} / {D(100)} / count(*) AS mean_p,
-  {D(f'count_if(p1 >= {D(CUT)})')} / count(*) AS at_cut FROM s WHERE quality <> 1 AND n_chars >= 800 GROUP BY lang""",
-)
-
-
 def baseline_signal_analysis(spark, folder):
     """Score against cheap features: AUC, precision at equal k, and the differences."""
     rows = cut_lineage(scored(spark, folder))
