@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,43 +89,66 @@ def _settle(per_stratum: int, per_file: int):
     return settle
 
 
-def donor_names(named: DataFrame) -> DataFrame:
+def donor_names(named: DataFrame, rounds: int = 6) -> DataFrame:
     """A donor for each name that shares no word with it: the next such name in a fixed circular order.
 
-    ``named`` has id, place (1..n) and words. Each round tries the next place by an equi-join and keeps only the
-    unmatched names, so no pair table is built.
+    ``named`` has id, place (1..n) and words. The first rounds try the next place each by an equi-join and keep only the
+    unmatched names. Of those left, who share words with all names near them, the gaps to names with a common word are
+    joined by word; the first gap missing among them is the donor's. Names that meet all others get none.
     """
     n = named.count()
     ring = named.select(F.col("place").alias("_place"), F.col("id").alias("donor"), F.col("words").alias("_words"))
-    left, done = named, None
-    for offset in range(1, n):
+    left, done = cut_lineage(named), []
+    for offset in range(1, min(n, rounds + 1)):
         step = left.withColumn("_place", F.pmod(F.col("place") + (offset - 1), F.lit(n)) + 1).join(ring, "_place").drop("_place")
         step = cut_lineage(step.withColumn("_ok", ~F.arrays_overlap("words", "_words")))
-        found = step.where("_ok").select("id", "donor", F.lit(offset).cast("bigint").alias("offset"))
-        done = found if done is None else done.unionByName(found)
+        done.append(step.where("_ok").select("id", "donor", F.lit(offset).cast("bigint").alias("offset")))
         left = step.where(~F.col("_ok")).select(*named.columns)
         if left.isEmpty():
             break
-    return done
-
-
-def exclusive_match(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    else:
+        first = min(n, rounds + 1)
+        word = lambda rows, *columns: rows.select(*columns, F.explode(F.array_distinct("words")).alias("w"))
+        met = word(left, "id", "place").join(word(named.select(F.col("place").alias("other"), "words"), "other"), "w")
+        gap = F.pmod(F.col("other") - F.col("place"), F.lit(n))
+        gaps = met.select("id", gap.alias("gap")).where(F.col("gap") >= first).distinct()
+        unbroken = ranked(gaps, ["id"], ["gap"], name="rn").where(F.col("gap") == F.col("rn") + (first - 1)).groupBy("id").agg(F.count(F.lit(1)).alias("run"))
+        placed = left.join(unbroken, "id", "left").withColumn("offset", (F.coalesce("run", F.lit(0)) + first).cast("bigint")).where(F.col("offset") < n)
+        target = F.pmod(F.col("place") + F.col("offset") - 1, F.lit(n)) + 1
+        done.append(placed.withColumn("_place", target).join(ring, "_place").select("id", "donor", "offset"))
+    return reduce(DataFrame.unionByName, done)
+
+
+def exclusive_match(edges: DataFrame) -> DataFrame:
     """Each positive, in priority order, gets its cheapest control that no earlier positive took.
 
-    ``edges`` has positive, priority, control and cost. Positives propose, a control keeps the proposer of
-    lowest priority number; the stable result equals the one-after-the-other choice, in far fewer rounds.
+    ``edges`` has positive, priority, control and cost; priorities are distinct. A proposal by an earlier positive means
+    that somebody no later than it will hold the control, so in each round a positive passes over the controls that
+    earlier ones have proposed to. Positives with the same order of preference form a class, in which the r-th one
+    also passes over r - 1 controls for the others of its class, beside those that positives earlier than the whole class
+    proposed to. The true choice is never passed over. Rounds go on until no proposal changes: then nobody proposes to
+    the same control, and that is the one-after-the-other choice. Equal positives, however many, settle at once; the
+    number of rounds grows with chains between classes.
     """
-    left = cut_lineage(edges.select("positive", "priority", "control", "cost"))
-    held = None
-    for _ in range(max_rounds):
-        # All live positives propose again: a control already held is only lost to an earlier positive.
-        offers = left.groupBy("positive", "priority").agg(F.min(F.struct("cost", "control")).alias("o")).select("positive", "priority", F.col("o.control").alias("control"), F.col("o.cost").alias("cost"))
-        offers = cut_lineage(offers)
-        winners = offers.groupBy("control").agg(F.min(F.struct("priority", "positive")).alias("w")).select("control", F.col("w.positive").alias("winner"))
-        decided = cut_lineage(offers.join(winners, "control"))
-        held = decided.where(F.col("positive") == F.col("winner")).select("positive", "control", "cost")
-        losers = decided.where(F.col("positive") != F.col("winner")).select("positive", "control")
-        if losers.isEmpty():
-            return held
-        left = cut_lineage(left.join(losers, ["positive", "control"], "left_anti"))
-    raise RuntimeError("matching did not settle")
+    order = Window.partitionBy("positive").orderBy("at")
+    listed = edges.select("positive", "priority", "control", "cost").withColumn("at", F.row_number().over(Window.partitionBy("positive").orderBy("cost", "control")))
+    listed = cut_lineage(listed)
+    kinds = listed.groupBy("positive", "priority").agg(
+        F.bit_xor(F.xxhash64("at", "control")).alias("k1"), F.bit_xor(F.xxhash64("control", "at", F.lit(1))).alias("k2"), F.count(F.lit(1)).alias("k3")
+    )
+    kinds = cut_lineage(kinds.select("positive", "priority", F.concat_ws(",", "k1", "k2", "k3").alias("kind")))
+    first = kinds.groupBy("kind").agg(F.min("priority").alias("first"))
+    turns = ranked(kinds, ["kind"], ["priority"], name="turn").join(first, "kind").select("positive", "first", "turn")
+    listed = cut_lineage(listed.join(turns, "positive"))
+    claims, before = listed.select("control", F.col("priority").alias("by")).where(F.lit(False)), None
+    while True:
+        rows = listed.join(claims, "control", "left")
+        untaken = F.coalesce(F.col("by") >= F.col("first"), F.lit(True)).cast("int")
+        # How many controls the positives before the class have left, up to each place of the list.
+        rows = rows.withColumn("left", F.sum(untaken).over(order)).where((F.col("left") >= F.col("turn")) & F.coalesce(F.col("by") >= F.col("priority"), F.lit(True)))
+        offers = rows.groupBy("positive", "priority").agg(F.min(F.struct("at", "control", "cost")).alias("o"))
+        offers = cut_lineage(offers.select("positive", "priority", F.col("o.control").alias("control"), F.col("o.cost").alias("cost")))
+        if before is not None and offers.join(before, ["positive", "control"], "left_anti").isEmpty():
+            return offers.select("positive", "control", "cost")
+        claims = cut_lineage(claims.unionByName(offers.select("control", F.col("priority").alias("by"))).groupBy("control").agg(F.min("by").alias("by")))
+        before = offers.select("positive", "control")
