@@ -154,16 +154,17 @@ def _sets(width: int, per_cent: int):
 
     def run(batches):
         for batch in batches:
-            ids, wanted, rows = batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())), []
+            ids, wanted = batch.column(0).to_pylist(), list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
+            types = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
             for group in W.iter_words(batch.column(1)):
+                rows = []
                 for i, own in enumerate(W.shingle_sets(group, width)):
                     row = group.first + i
                     if _identity(own) == wanted[row]:
                         second = own[np.argsort(W.mix(own ^ _SECOND), kind="stable")][: _prefix(len(own), per_cent)]
                         rows.append((ids[row], len(own), own.view(np.int64), second.view(np.int64), _parities(own)))
-            columns = list(zip(*rows)) or [[]] * 5
-            types = (pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 3)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "n", "tokens", "second", "odd"])
+                columns = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["id", "n", "tokens", "second", "odd"])
 
     return run
 

@@ -35,7 +35,7 @@ from pairloom.llm.tables import id_and_text, read
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 UNIGRAM, BPE = 1, 2
-SLICE = 1 << 22
+SLICE = 1 << 20
 REMEMBERED = 4_000_000
 CELLS = 1 << 20
 
@@ -353,15 +353,14 @@ def decode_ids(model: Model, ids: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return raw, offsets
 
 
-def _slices(texts: list) -> list[tuple[int, int]]:
-    """Runs of rows of about SLICE characters."""
-    out, low, held = [], 0, 0
-    for i, text in enumerate(texts):
-        held += len(text or "") + 1
-        if held >= SLICE:
-            out.append((low, i + 1))
-            low, held = i + 1, 0
-    return [*out, (low, len(texts))] if low < len(texts) else out
+def _slices(column: pa.Array):
+    """(first row, texts) of runs of rows of about SLICE bytes; only one run's texts are Python strings at a time."""
+    _, bounds = W.text_buffer(column)
+    low = 0
+    while low < len(column):
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE, "right")) - 1)
+        yield low, column.slice(low, high - low).to_pylist()
+        low = high
 
 
 def encode_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -370,13 +369,12 @@ def encode_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
     def run(batches):
         pairs = Pairs(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in _slices(texts):
-                ids, counts = encode_texts(model, pairs, texts[low:high])
+            for low, texts in _slices(batch.column(1)):
+                ids, counts = encode_texts(model, pairs, texts)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-                given = pa.array([t is None for t in texts[low:high]])
+                given = pa.array([t is None for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=given)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), lists], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), lists], names=["doc_id", "ids"])
 
     return id_and_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -406,14 +404,13 @@ def encoding_digests(documents: DataFrame, model: Model, id_col: str = "doc_id",
     def run(batches):
         pairs = Pairs(model)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for low, high in _slices(texts):
-                ids, counts = encode_texts(model, pairs, texts[low:high])
+            for low, texts in _slices(batch.column(1)):
+                ids, counts = encode_texts(model, pairs, texts)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 raw, offsets = decode_ids(model, ids, counts)
                 plain, data = np.concatenate([[0], np.cumsum(is_byte[ids])]), raw.tobytes()
                 rows = []
-                for i, text in enumerate(texts[low:high]):
+                for i, text in enumerate(texts):
                     if text is None:
                         rows.append((None, None, None, None))
                         continue
@@ -423,7 +420,7 @@ def encoding_digests(documents: DataFrame, model: Model, id_col: str = "doc_id",
                 columns = list(zip(*rows)) or [[]] * 4
                 arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(low, high - low), *arrays], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"]
+                    [batch.column(0).slice(low, len(texts)), *arrays], names=["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "round_trip"]
                 )
 
     return id_and_text(documents, id_col, text_col).mapInArrow(
