@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import measures as M
 from pairloom.operators.ordered import running
-from pairloom.session import cut_lineage
+from pairloom.session import cut_lineage, written
 
 SLACK = 1e-9
 FIRST_ENTRIES = 4
@@ -58,7 +58,7 @@ def nearest_by_overlap(
 
     def first_k(rows: DataFrame) -> DataFrame:
         order = Window.partitionBy("q").orderBy("cost", "c")
-        return cut_lineage(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        return written(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
     best = first_k(judged(neighbours_by_length(q, c, group, k).distinct()))
     entries = c.select(group, F.explode("sc").alias("e"), "c", "nc", "mc")
@@ -71,7 +71,7 @@ def nearest_by_overlap(
         bound = best.groupBy("q").agg(F.when(F.count(F.lit(1)) == k, F.max("cost")).alias("bound"))
         need = F.greatest(F.lit(0.0), F.lit(1.0) - F.col("bound") * F.lit(overlap_unit))
         reach = F.when(F.col("bound").isNull(), F.col("mq")).otherwise(F.least(F.col("mq"), F.col("mq") - F.ceil(need * F.col("mq") - SLACK) + 1))
-        open_ = cut_lineage(q.select("q", "mq").join(bound, "q", "left").select("q", "bound", reach.cast("int").alias("reach")).where(F.col("reach") > low))
+        open_ = written(q.select("q", "mq").join(bound, "q", "left").select("q", "bound", reach.cast("int").alias("reach")).where(F.col("reach") > low))
         if open_.isEmpty():
             break
         asked = probes.where((F.col("place") > low) & (F.col("place") <= high)).join(open_, "q").where(F.col("place") <= F.col("reach"))

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.chains import follow_chains
+from pairloom.operators.skew import lookup_join
+from pairloom.session import written
+
 # Endings tried for a specifier without one, in order.
 MODULE_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".mts", ".cts", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 
@@ -97,18 +101,20 @@ def outside_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def constant_strings(constants: DataFrame, hops: int = 8) -> DataFrame:
-    """Follow ``constants(name, literal, alias)`` to a literal over at most ``hops`` aliases."""
-    state = constants.select("name", "literal", "alias", F.lit(0).alias("hops"))
-    step = constants.select(F.col("name").alias("alias"), F.col("literal").alias("_literal"), F.col("alias").alias("_alias"))
-    # The number of joins is the fixed hop bound, not a function of the data.
-    for _ in range(hops):
-        joined = state.join(step, "alias", "left")
-        moved = F.col("literal").isNull() & F.col("alias").isNotNull()
-        state = joined.select(
-            "name", F.when(moved, F.col("_literal")).otherwise(F.col("literal")).alias("literal"),
-            F.when(moved, F.col("_alias")).otherwise(F.col("alias")).alias("alias"), F.when(moved, F.col("hops") + 1).otherwise(F.col("hops")).alias("hops"),
-        )
-    return state.select("name", F.col("literal").alias("value"), "hops")
+    """(name, value, hops, state): the literal that ``constants(name, literal, alias)`` leads to.
+
+    A name with a literal stands for itself. state is ``resolved``; ``depth_limit`` where the literal is more than
+    ``hops`` aliases away; ``unresolved`` where the chain ends without one; or ``cycle``, with null hops.
+    """
+    kept = written(constants.select("name", "literal", F.when(F.col("literal").isNull(), F.col("alias")).alias("next")))
+    found = follow_chains(kept.select("name", "next"))
+    literals = kept.where(F.col("literal").isNotNull()).select(F.col("name").alias("end"), "literal")
+    joined = lookup_join(found.where(F.col("end").isNotNull()), literals, "end", how="left")
+    far = F.col("steps") > hops
+    state = F.when(F.col("literal").isNull(), "unresolved").when(far, "depth_limit").otherwise("resolved")
+    rows = joined.select("name", F.when(~far, F.col("literal")).alias("value"), F.col("steps").alias("hops"), state.alias("state"))
+    loops = found.where(F.col("end").isNull()).select("name", F.lit(None).cast("string").alias("value"), F.col("steps").alias("hops"), "state")
+    return rows.unionByName(loops)
 
 
 def inherited_options(configs: DataFrame, depth: int = 8) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from pairloom import constants as K
 from pairloom.operators.ordered import first_n, ranked
-from pairloom.session import cut_lineage
+from pairloom.session import cut_lineage, written
 
 
 def seeded_order(seed: str, key: str) -> Column:
@@ -132,14 +132,14 @@ def exclusive_match(edges: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("positive").orderBy("at")
     listed = edges.select("positive", "priority", "control", "cost").withColumn("at", F.row_number().over(Window.partitionBy("positive").orderBy("cost", "control")))
-    listed = cut_lineage(listed)
+    listed = written(listed)
     kinds = listed.groupBy("positive", "priority").agg(
         F.bit_xor(F.xxhash64("at", "control")).alias("k1"), F.bit_xor(F.xxhash64("control", "at", F.lit(1))).alias("k2"), F.count(F.lit(1)).alias("k3")
     )
-    kinds = cut_lineage(kinds.select("positive", "priority", F.concat_ws(",", "k1", "k2", "k3").alias("kind")))
+    kinds = written(kinds.select("positive", "priority", F.concat_ws(",", "k1", "k2", "k3").alias("kind")))
     first = kinds.groupBy("kind").agg(F.min("priority").alias("first"))
     turns = ranked(kinds, ["kind"], ["priority"], name="turn").join(first, "kind").select("positive", "first", "turn")
-    listed = cut_lineage(listed.join(turns, "positive"))
+    listed = written(listed.join(turns, "positive"))
     claims, before = listed.select("control", F.col("priority").alias("by")).where(F.lit(False)), None
     while True:
         rows = listed.join(claims, "control", "left")
@@ -147,8 +147,8 @@ def exclusive_match(edges: DataFrame) -> DataFrame:
         # How many controls the positives before the class have left, up to each place of the list.
         rows = rows.withColumn("left", F.sum(untaken).over(order)).where((F.col("left") >= F.col("turn")) & F.coalesce(F.col("by") >= F.col("priority"), F.lit(True)))
         offers = rows.groupBy("positive", "priority").agg(F.min(F.struct("at", "control", "cost")).alias("o"))
-        offers = cut_lineage(offers.select("positive", "priority", F.col("o.control").alias("control"), F.col("o.cost").alias("cost")))
+        offers = written(offers.select("positive", "priority", F.col("o.control").alias("control"), F.col("o.cost").alias("cost")))
         if before is not None and offers.join(before, ["positive", "control"], "left_anti").isEmpty():
             return offers.select("positive", "control", "cost")
-        claims = cut_lineage(claims.unionByName(offers.select("control", F.col("priority").alias("by"))).groupBy("control").agg(F.min("by").alias("by")))
+        claims = written(claims.unionByName(offers.select("control", F.col("priority").alias("by"))).groupBy("control").agg(F.min("by").alias("by")))
         before = offers.select("positive", "control")

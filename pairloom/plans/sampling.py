@@ -267,17 +267,22 @@ QUERIES["outside_roots"] = (
 
 
 def constant_chains(spark, folder):
-    """Documents alias others by hash; follow up to eight aliases to a literal."""
-    d = table(spark, folder, "documents")
-    literal = F.when(T.unit_hash(F.lit("lit"), F.col("doc_id")) < 0.3, F.col("source"))
-    alias = F.when(literal.isNull(), F.floor(T.unit_hash(F.lit("al"), F.col("doc_id")) * 1000).cast("bigint").cast("string"))
-    return R.constant_strings(d.select(F.col("doc_id").cast("string").alias("name"), literal.alias("literal"), alias.alias("alias"))).withColumn("hops", F.col("hops").cast("bigint"))
+    """Documents alias others by hash, some of them ids that aren't there; follow the aliases to a literal."""
+    d = cut_lineage(table(spark, folder, "documents").select("doc_id", "source"))
+    last = d.agg(F.max("doc_id")).first()[0] or 0
+    literal = F.when(T.unit_hash(F.lit("lit"), F.col("doc_id")) < 0.15, F.col("source"))
+    # One in fifty aliases leads past the last id.
+    alias = F.floor(T.unit_hash(F.lit("al"), F.col("doc_id")) * ((last + 1) * 1.02)).cast("bigint").cast("string")
+    return R.constant_strings(d.select(F.col("doc_id").cast("string").alias("name"), literal.alias("literal"), alias.alias("alias")))
 
 
 QUERIES["constant_chains"] = (
     constant_chains,
-    f"""WITH RECURSIVE c AS (SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN {B.sql_unit_hash("'lit'", 'doc_id')} < {D(0.3)} THEN source END AS literal, CAST(CAST(floor({B.sql_unit_hash("'al'", 'doc_id')} * 1000) AS BIGINT) AS VARCHAR) AS al FROM documents),
-w(name, literal, al, hops) AS (SELECT name, literal, CASE WHEN literal IS NULL THEN al END, CAST(0 AS BIGINT) FROM c UNION ALL
-  SELECT w.name, c.literal, CASE WHEN c.literal IS NULL THEN c.al END, w.hops + 1 FROM w LEFT JOIN c ON c.name = w.al WHERE w.literal IS NULL AND w.al IS NOT NULL AND w.hops < 8)
-SELECT name, arg_max(coalesce(literal, '?'), hops) AS v0, max(hops) AS hops FROM w GROUP BY name""".replace("SELECT name, arg_max(coalesce(literal, '?'), hops) AS v0", "SELECT name, nullif(arg_max(coalesce(literal, '?'), hops), '?') AS value"),
+    f"""WITH RECURSIVE m AS (SELECT CAST(max(doc_id) + 1 AS DOUBLE) * {D(1.02)} AS k FROM documents),
+c AS (SELECT CAST(doc_id AS VARCHAR) AS name, CASE WHEN {B.sql_unit_hash("'lit'", 'doc_id')} < {D(0.15)} THEN source END AS literal, CAST(CAST(floor({B.sql_unit_hash("'al'", 'doc_id')} * k) AS BIGINT) AS VARCHAR) AS al FROM documents, m),
+w(name, cur, literal, nxt, hops, seen) AS (SELECT name, name, literal, CASE WHEN literal IS NULL THEN al END, CAST(0 AS BIGINT), [name] FROM c UNION ALL
+  SELECT w.name, w.nxt, c.literal, CASE WHEN c.name IS NOT NULL AND c.literal IS NULL THEN c.al END, w.hops + 1, list_append(seen, w.nxt) FROM w LEFT JOIN c ON c.name = w.nxt WHERE w.nxt IS NOT NULL AND NOT list_contains(seen[:-2], w.cur)),
+e AS (SELECT name, cur, literal, nxt, hops, list_contains(seen[:-2], cur) AS loop, row_number() OVER (PARTITION BY name ORDER BY hops DESC) AS k FROM w)
+SELECT name, CASE WHEN NOT loop AND hops <= 8 THEN literal END AS value, CASE WHEN NOT loop THEN hops END AS hops,
+  CASE WHEN loop THEN 'cycle' WHEN literal IS NULL THEN 'unresolved' WHEN hops > 8 THEN 'depth_limit' ELSE 'resolved' END AS state FROM e WHERE k = 1""",
 )

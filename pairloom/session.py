@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,6 +64,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         conf.set(key, before)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared checkpoint folder, for rounds of joins.
+
+    A checkpoint keeps the size its plan was estimated at, which for a join is the product of both sides': over rounds
+    that number grows until planning takes minutes. Of a written table Spark knows the true size.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    path = posixpath.join(df.sparkSession.sparkContext.getCheckpointDir(), f"rows-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def slice_count(spark: SparkSession) -> int:
     """Partitions for explicit repartitioning: the shuffle setting, in local mode no more than the cores."""
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
