@@ -9,6 +9,7 @@ from pairloom import constants as K
 from pairloom import schemas
 from pairloom.functions import text as T
 from pairloom.operators.admission import admit_in_order
+from pairloom.sources.lines import parsed_lines
 
 
 def _literal(text: str) -> str:
@@ -80,12 +81,22 @@ def catalog_differences(signals: DataFrame, order: DataFrame) -> DataFrame:
     return both.where(F.col("f").isNull() | F.col("o").isNull()).select("id", F.when(F.col("f").isNull(), "file_missing").otherwise("not_in_catalog").alias("problem"))
 
 
+def journal_line_problems(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, entry, value) of the lines of JSONL event logs that are no events."""
+    rows, torn = parsed_lines(spark, path, schemas.JOURNAL)
+    unnamed = rows.where(F.col("seq").isNull() | F.col("type").isNull())
+    blank = F.lit(None).cast("bigint"), F.lit(None).cast("string")
+    return torn.unionByName(unnamed.select("file", "line", blank[0].alias("entry"), blank[1].alias("value")))
+
+
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Evaluation cases from JSONL files, and the malformed lines with their file."""
-    schema = schemas.CASE + ", _corrupt_record string"
-    rows = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt_record").json(path).select("*", F.col("_metadata.file_path").alias("file"))
-    bad = rows.where(F.col("_corrupt_record").isNotNull() | F.col("id").isNull()).select("file", "_corrupt_record")
-    return rows.where(F.col("_corrupt_record").isNull() & F.col("id").isNotNull()).drop("_corrupt_record"), bad
+    """Evaluation cases of JSONL files with file and line, and the malformed lines: (file, line, entry, value).
+
+    A case without an id is malformed too; its entry and value are null.
+    """
+    rows, torn = parsed_lines(spark, path, schemas.CASE)
+    unnamed = rows.where(F.col("id").isNull()).select("file", "line", F.lit(None).cast("bigint").alias("entry"), F.lit(None).cast("string").alias("value"))
+    return rows.where(F.col("id").isNotNull()), torn.unionByName(unnamed)
 
 
 def read_label_files(spark: SparkSession, path: str) -> DataFrame:

@@ -57,3 +57,43 @@ def test_written_global_fetch_voids_routes(spark):
     routes = spark.createDataFrame([("/a", "GET", 1)], "url string, method string, target long")
     assert {r.reason for r in X.route_join(uses, routes).collect()} == {"resolved", "dynamic_url"}
     assert {r.reason for r in X.route_join(uses, routes, disabled=True).collect()} == {"global_fetch_written"}
+
+
+def test_lines_of_split_files_are_numbered(spark, tmp_path):
+    from pairloom.sources.lines import numbered_lines
+
+    for name, gap in (("a.jsonl", 7), ("b.jsonl", 1000)):
+        lines = []
+        for i in range(3000):
+            lines += [json.dumps({"id": f"{name}-{i}", "signalId": "s", "files": {}})] + ([""] if i % gap == 0 else [])
+        lines[2500] = '{"id": "torn'
+        lines[2800] = '{"signalId": "s"}'
+        lines[2900] = "[1]"
+        (tmp_path / name).write_text("\n".join(lines))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = numbered_lines(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path / "a.jsonl")).rdd.getNumPartitions() >= 3
+        got = sorted((r.file.rsplit("/", 1)[1], r.line, r.entry, r.value) for r in found.collect())
+        cases, bad = S.read_cases(spark, str(tmp_path))
+        places = {(r.file.rsplit("/", 1)[1], r.line) for r in bad.collect()}
+        first = cases.where("id = 'a.jsonl-0'").first()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    want = []
+    for name in ("a.jsonl", "b.jsonl"):
+        entry = 0
+        for number, line in enumerate((tmp_path / name).read_text().split("\n"), 1):
+            if line.strip():
+                entry += 1
+                want.append((name, number, entry, line))
+    assert got == sorted(want)
+    assert places == {(n, line) for n in ("a.jsonl", "b.jsonl") for line in (2501, 2801, 2901)} and first.line == 1
+
+
+def test_torn_journal_line_is_named(spark, tmp_path):
+    (tmp_path / "j.jsonl").write_text('{"seq": 0, "type": "initialized"}\n\n{"seq": 1, "ty\n{"type": "x"}\n')
+    assert {(r.line, r.entry) for r in S.journal_line_problems(spark, str(tmp_path / "j.jsonl")).collect()} == {(3, 2), (4, None)}
