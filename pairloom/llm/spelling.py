@@ -48,6 +48,8 @@ FEW = 8
 RATIO = 10
 LEAST_LETTERS = 7
 LEAST_COUNT = 2
+# Words of up to so many letters travel with their lists; letters of words that a task decomposes at once.
+LONG, LETTERS_AT_ONCE = 64, 1 << 16
 
 _BITS = 7
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -301,35 +303,58 @@ class GramIndex:
         return number, W.mix(left * _BASE + right).view(np.int64), d.grams <= d.most
 
 
-_LISTS = "key long, word string, n long"
+def _entries(sent):
+    """Rows (number, words) to (key, number, ...): the lists each word enters; a missing key for words that may lose all grams."""
 
-
-def near_words(vocabulary: DataFrame, frequent: int = FREQUENT, few: int = FEW) -> DataFrame:
-    """(a, n_a, b, n_b): each pair of words of ``vocabulary(word, n)`` that one edit parts, once. Words are distinct."""
-    spark = vocabulary.sparkSession
-    sent = spark.sparkContext.broadcast(gram_dictionary(vocabulary, frequent, few))
-
-    def lists(batches):
+    def run(batches):
         index = GramIndex(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            length = np.cumsum([len(w) for w in batch.column(0).to_pylist()])
+            low = 0
+            while low < batch.num_rows:
+                done = length[low - 1] if low else 0
+                high = max(low + 1, int(np.searchsorted(length, done + LETTERS_AT_ONCE, "right")))
+                part = batch.slice(low, high - low)
                 number, keys, weak = index.keys(part.column(0).to_pylist())
-                # Words that may lose all grams are marked by a missing key.
                 lost = np.flatnonzero(weak)
                 which = pa.array(np.concatenate([number, lost]))
                 key = pa.array(np.concatenate([keys, np.zeros(len(lost), np.int64)]), mask=np.arange(len(which)) >= len(number))
-                yield pa.RecordBatch.from_arrays([key, part.column(0).take(which), part.column(1).take(which)], names=["key", "word", "n"])
+                names = batch.schema.names[1:]
+                yield pa.RecordBatch.from_arrays([key, *(part.column(name).take(which) for name in names)], names=["key", *names])
+                low = high
+
+    return run
 
-    entries = cut(vocabulary.select("word", F.col("n").cast("long").alias("n")).mapInArrow(lists, _LISTS))
-    rest = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
-    left = entries.where("key is null").select(F.explode(F.array_distinct(F.concat(F.array("word"), rest))).alias("key"), "word", "n")
 
-    def meet(rows: DataFrame) -> DataFrame:
-        first, second = (rows.select("key", F.col("word").alias(w), F.col("n").alias(f"n_{w}")) for w in "ab")
-        return first.join(second, "key").where("a < b").where(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
+def near_words(vocabulary: DataFrame, frequent: int = FREQUENT, few: int = FEW) -> DataFrame:
+    """(a, n_a, b, n_b): each pair of words of ``vocabulary(word, n)`` that one edit parts, once. Words are distinct.
 
-    return meet(entries.where("key is not null")).unionByName(meet(left)).distinct()
+    A word enters some lists a letter. Words of up to LONG letters travel along and are compared where they meet; of longer
+    ones only a number travels, and the words are joined to the pairs found.
+    """
+    sent = vocabulary.sparkSession.sparkContext.broadcast(gram_dictionary(vocabulary, frequent, few))
+
+    def met(rows: DataFrame, *columns: str) -> DataFrame:
+        first, second = (rows.select("key", *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab")
+        return first.join(second, "key").where(F.col(f"{columns[0]}_a") < F.col(f"{columns[0]}_b"))
+
+    def one_edit(pairs: DataFrame) -> DataFrame:
+        return pairs.where(F.levenshtein("word_a", "word_b", 1) == 1).select(F.col("word_a").alias("a"), "n_a", F.col("word_b").alias("b"), "n_b")
+
+    words = vocabulary.select("word", F.col("n").cast("long").alias("n"))
+    usual = words.where(F.length("word") <= LONG)
+    entries = cut(usual.select("word", F.col("word").alias("w"), "n").mapInArrow(_entries(sent), "key long, w string, n long").withColumnRenamed("w", "word"))
+    rest = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, F.length("word"))))
+    left = entries.where("key is null").select(F.explode(F.array_distinct(F.concat(F.array("word"), rest))).alias("key"), "word", "n")
+    # Of two words a letter apart in length the shorter may be a usual one, so words of LONG letters stand in both parts.
+    long = cut(words.where(F.length("word") >= LONG).withColumn("id", F.monotonically_increasing_id()))
+    numbers = met(long.select("word", "id").mapInArrow(_entries(sent), "key long, id long"), "id").select("id_a", "id_b").distinct()
+    side = lambda s: long.select(F.col("id").alias(f"id_{s}"), F.col("word").alias(f"word_{s}"), F.col("n").alias(f"n_{s}"))
+    apart = one_edit(numbers.join(side("a"), "id_a").join(side("b"), "id_b"))
+    swap = F.col("a") > F.col("b")
+    apart = apart.select(F.least("a", "b").alias("a"), F.when(swap, F.col("n_b")).otherwise(F.col("n_a")).alias("n_a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("n_a")).otherwise(F.col("n_b")).alias("n_b"))
+    near = one_edit(met(entries.where("key is not null"), "word", "n")).unionByName(one_edit(met(left, "word", "n")))
+    return near.unionByName(apart).distinct()
 
 
 def spelling_forms(words: DataFrame, ratio: int = RATIO, frequent: int = FREQUENT, few: int = FEW) -> DataFrame:
