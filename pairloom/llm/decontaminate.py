@@ -58,7 +58,7 @@ def item_shingles(items: DataFrame, width: int) -> DataFrame:
                 names=["item_id", "width", "hashes", "size_class"],
             )
 
-    return items.mapInArrow(run, "item_id long, width int, hashes array<long>, size_class int")
+    return items.mapInArrow(W.tidy(run), "item_id long, width int, hashes array<long>, size_class int")
 
 
 def _blocks(items: DataFrame, block_shingles: int):
@@ -120,7 +120,7 @@ def contained_items(
     parts = []
     for block in _blocks(prepared, block_shingles):
         sent = spark.sparkContext.broadcast(_pack(block, share))
-        parts.append(docs.mapInArrow(_probe(sent, share), _MATCHES))
+        parts.append(docs.mapInArrow(W.tidy(_probe(sent, share)), _MATCHES))
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], _MATCHES)
 
 
@@ -138,7 +138,7 @@ def keep_clean(
     prepared = cut(item_shingles(items.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")), width))
     text, kept = documents.columns.index(text_col), documents
     for block in _blocks(prepared, block_shingles):
-        kept = kept.mapInArrow(_sift(documents.sparkSession.sparkContext.broadcast(_pack(block, share)), share, text), documents.schema)
+        kept = kept.mapInArrow(W.tidy(_sift(documents.sparkSession.sparkContext.broadcast(_pack(block, share)), share, text)), documents.schema)
     return kept
 
 

@@ -260,20 +260,20 @@ def similar_documents(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the smallest id reachable by links."""
     docs = id_and_text(documents, id_col, text_col)
-    signed = cut(docs.mapInArrow(_signatures(width), "doc_id long, n_shingles long, s1 long, s2 long"))
+    signed = cut(docs.mapInArrow(W.tidy(_signatures(width)), "doc_id long, n_shingles long, s1 long, s2 long"))
     named = signed.where("doc_id is not null and n_shingles > 0")
     classes = cut(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")))
 
     some = docs.where("doc_id is not null and text is not null")
-    prefixes = some.select("text").mapInArrow(_prefix_rows(width, per_cent), "token long, s1 long, known int")
-    shared = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(_shared_counts, "s1 long, n long").groupBy("s1").agg(F.sum("n").alias("shared"))
+    prefixes = some.select("text").mapInArrow(W.tidy(_prefix_rows(width, per_cent)), "token long, s1 long, known int")
+    shared = prefixes.repartition("token").sortWithinPartitions("token").mapInArrow(W.tidy(_shared_counts), "s1 long, n long").groupBy("s1").agg(F.sum("n").alias("shared"))
     enough = F.ceil(F.col("n") * per_cent / 100)  # of the shortest partner, whose least k holds
     left = classes.join(shared, "s1").where(F.col("shared") >= enough - F.ceil(enough * per_cent / 100) + 1)
     # A document whose rows differ has several sets, so sets go by a key of their own.
     held = cut(left.select(F.col("rep").alias("held_id"), "s1", "s2", F.monotonically_increasing_id().alias("key")))
     sent = F.broadcast(held) if held.count() <= SENT_IDS else held
     texts = some.join(sent, F.col("doc_id") == F.col("held_id")).select("key", "text", "s1", "s2")
-    sets = cut(texts.mapInArrow(_sets(width, per_cent), "id long, n long, tokens array<long>, second array<long>, odd array<long>"))
+    sets = cut(texts.mapInArrow(W.tidy(_sets(width, per_cent)), "id long, n long, tokens array<long>, second array<long>, odd array<long>"))
     sets = one_row_per_id(sets, "id")
 
     member = cut(named.join(classes.select("s1", "s2", "rep"), ["s1", "s2"]).select("doc_id", "n_shingles", "rep"))

@@ -140,7 +140,7 @@ def fit_language_model(documents: DataFrame, per_language: int = PER_LANGUAGE) -
                 names=["doc_id", "lang", "bucket", "n"],
             )
 
-    found = docs.mapInArrow(count, "doc_id long, lang string, bucket array<int>, n array<int>").toArrow().sort_by("doc_id")
+    found = docs.mapInArrow(W.tidy(count), "doc_id long, lang string, bucket array<int>, n array<int>").toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
     lang = found.column("lang").to_pylist()
@@ -209,7 +209,7 @@ def identify_language(documents: DataFrame, model: Model | None, reject: float =
                 [batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "rejected"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return docs.mapInArrow(W.tidy(run), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(documents: DataFrame, model: Model | None, reject: float = REJECT, text_col: str = "text") -> DataFrame:
@@ -225,7 +225,7 @@ def keep_identified(documents: DataFrame, model: Model | None, reject: float = R
             kept = batch.filter(pa.array(~rejected))
             yield pa.RecordBatch.from_arrays(kept.columns[:width], names=kept.schema.names[:width])
 
-    return documents.withColumn("_letters_of_" + text_col, _has_letter(text_col)).mapInArrow(run, documents.schema)
+    return documents.withColumn("_letters_of_" + text_col, _has_letter(text_col)).mapInArrow(W.tidy(run), documents.schema)
 
 
 def op2(spark: SparkSession, folder: str) -> DataFrame:

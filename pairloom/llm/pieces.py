@@ -376,7 +376,7 @@ def encode_documents(documents: DataFrame, model: Model, id_col: str = "doc_id",
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids), mask=given)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(texts)), lists], names=["doc_id", "ids"])
 
-    return id_and_text(documents, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return id_and_text(documents, id_col, text_col).mapInArrow(W.tidy(run), "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model: Model, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -392,7 +392,7 @@ def decode_documents(encoded: DataFrame, model: Model, id_col: str = "doc_id", i
                 text = pa.compute.if_else(column.is_null(), pa.scalar(None, pa.large_string()), text)
             yield pa.RecordBatch.from_arrays([batch.column(0), text.cast(pa.string())], names=["doc_id", "text"])
 
-    return encoded.selectExpr(f"`{id_col}` as doc_id", f"`{ids_col}` as ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.selectExpr(f"`{id_col}` as doc_id", f"`{ids_col}` as ids").mapInArrow(W.tidy(run), "doc_id long, text string")
 
 
 def encoding_digests(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -424,7 +424,7 @@ def encoding_digests(documents: DataFrame, model: Model, id_col: str = "doc_id",
                 )
 
     return id_and_text(documents, id_col, text_col).mapInArrow(
-        run, "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, round_trip boolean"
+        W.tidy(run), "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, round_trip boolean"
     )
 
 

@@ -39,7 +39,7 @@ from pairloom.llm.tables import cut, discard, id_and_text, read
 
 WINDOW = 50
 ANCHOR = 25
-FLUSH = 1 << 20
+FLUSH = 1 << 18
 # An anchor is hot from HOT_DOCUMENTS runs of the documents looked at, or from the share that leaves MOST_HOT of them.
 SAMPLE_ONE_IN, HOT_DOCUMENTS, MOST_HOT = 16, 64, 50_000
 
@@ -156,7 +156,7 @@ def _anchor_rows(window: int, anchor: int):
 def hot_anchors(docs: DataFrame, window: int, anchor: int) -> np.ndarray:
     """Sorted anchors under which windows of many documents would meet; docs has doc_id and text."""
     some = docs.where(F.pmod(F.xxhash64(F.lit("hot"), "doc_id", "text"), F.lit(SAMPLE_ONE_IN)) == 0)
-    counts = some.select("text").mapInArrow(_anchor_rows(window, anchor), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    counts = some.select("text").mapInArrow(W.tidy(_anchor_rows(window, anchor)), "anchor long").groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
     often = cut(counts.where(F.col("n") >= HOT_DOCUMENTS))
     least = max(HOT_DOCUMENTS, -(-(often.agg(F.sum("n")).first()[0] or 0) // MOST_HOT))
     found = [row[0] for row in often.where(F.col("n") >= least).select("anchor").collect()]
@@ -259,13 +259,13 @@ def window_runs(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     anchor = max(1, min(ANCHOR, window // 2))
     docs = id_and_text(documents, id_col, text_col).where("doc_id is not null and text is not null")
     hot = hot_anchors(docs, window, anchor)
-    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(_map_windows(window, anchor, hot), _RUNS_SQL)
+    return docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(W.tidy(_map_windows(window, anchor, hot)), _RUNS_SQL)
 
 
 def repeated_windows(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, start, n): runs of n windows, from word start on, that also start in a smaller document."""
     runs = window_runs(documents, window, id_col, text_col)
-    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_match_windows, _CUTS_SQL)
+    return runs.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(W.tidy(_match_windows), _CUTS_SQL)
 
 
 def removed_intervals(cuts: DataFrame) -> DataFrame:
@@ -318,7 +318,7 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "do
                 [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=["doc_id", "n_words", "n_removed", "removed", "kept_sha256"]
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept_sha256 string")
+    return docs.mapInArrow(W.tidy(run), "doc_id long, n_words long, n_removed long, removed array<array<long>>, kept_sha256 string")
 
 
 def without_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -337,7 +337,7 @@ def without_repeats(documents: DataFrame, window: int = WINDOW, id_col: str = "d
             columns[text] = pa.array(new, own.type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:width])
 
-    return docs.mapInArrow(run, documents.schema)
+    return docs.mapInArrow(W.tidy(run), documents.schema)
 
 
 def op8(spark: SparkSession, folder: str) -> DataFrame:
