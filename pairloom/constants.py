@@ -32,9 +32,8 @@ SECRET_PATTERNS = (
     r"\b[sr]k_live_[A-Za-z0-9]{16,}",
     r"\bxox[abprs]-[A-Za-z0-9-]{10,}",
     r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'"`${}<>]+:(?!(?:pass|password|secret|changeme)@)[^\s:/@'"`${}<>]{3,}@[^\s'"`/]+""",
 )
-# A URL with user and password, placeholder passwords aside.
-URL_CREDENTIAL = r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'"`${}<>]+:(?!(?:pass|password|secret|changeme)@)[^\s:/@'"`${}<>]{3,}@[^\s'"`/]+"""
 
 # Questions, their unit kinds, presence option, status, cut and floor.
 SIGNALS = (
@@ -86,6 +85,10 @@ STRATA = ((5, 9), (10, 19), (20, 39), (40, 100))
 STRATUM_SIZE, STRATUM_PER_FILE, STRATUM_NEAR = 25, 3, 0.8
 
 # Directories and names that a snapshot never reads.
-EXCLUDED_DIRECTORIES = (
-    "node_modules vendor vendors dist build coverage generated __generated__ out target"
-).split()
+EXCLUDED_DIRECTORIES = ["node_modules", "vendor", "vendors", "dist", "build", "coverage", "generated", "__generated__", "out", "target"]
+
+# The marker of generated files, among so many first characters, and the names of source and test files.
+GENERATED_MARKER, GENERATED_WITHIN = r"(?i)(?:^|\n)\s*(?://|/\*|\*)[^\n]*(?:@generated|auto.generated|do not edit)", 4096
+SOURCE_PATH = r"\.(?:[cm]?[jt]s|[jt]sx)$"
+DECLARATION_PATH = r"\.d\.[cm]?ts$"
+TEST_PATH = r"(?:^|/)(?:tests?|__tests__)(?:/|$)|\.(?:test|spec)\.[cm]?[jt]sx?$"

@@ -108,22 +108,21 @@ def secret_kinds(text: Column) -> Column:
         holds(text, "eyJ"),
         holds(text, "://"),
     ]
-    hits = [F.when(m & text.rlike(p), F.lit(i)) for i, (m, p) in enumerate(zip(may, (*K.SECRET_PATTERNS, K.URL_CREDENTIAL)), 1)]
+    hits = [F.when(m & text.rlike(p), F.lit(i)) for i, (m, p) in enumerate(zip(may, K.SECRET_PATTERNS), 1)]
     return F.array_compact(F.array(*hits))
 
 
 def is_generated(text: Column) -> Column:
     """A comment line among the first 4096 characters says the file is generated."""
-    pattern = r"(?i)(?:^|\n)\s*(?://|/\*|\*)[^\n]*(?:@generated|auto.generated|do not edit)"
-    return F.substring(text, 1, 4096).rlike(pattern)
+    return F.substring(text, 1, K.GENERATED_WITHIN).rlike(K.GENERATED_MARKER)
 
 
 def is_source_path(path: Column) -> Column:
-    return path.rlike(r"\.(?:[cm]?[jt]s|[jt]sx)$") & ~path.rlike(r"\.d\.[cm]?ts$")
+    return path.rlike(K.SOURCE_PATH) & ~path.rlike(K.DECLARATION_PATH)
 
 
 def is_test_path(path: Column) -> Column:
-    return path.rlike(r"(?:^|/)(?:tests?|__tests__)(?:/|$)|\.(?:test|spec)\.[cm]?[jt]sx?$")
+    return path.rlike(K.TEST_PATH)
 
 
 def is_safe_relative(path: Column) -> Column:

@@ -33,7 +33,7 @@ def secret_hits(spark, folder):
 
 _PLACEHOLDER = r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'"`${}<>]+:(?:pass|password|secret|changeme)@[^\s'"`/]+"""
 _ANYURL = r"""(?i)\b[a-z][a-z0-9+.-]{1,20}://[^\s:/@'"`${}<>]+:[^\s:/@'"`${}<>]{3,}@[^\s'"`/]+"""
-_hits = ", ".join(f"CASE WHEN regexp_matches(text, {sql_str(p)}) THEN '{i}' END" for i, p in enumerate(K.SECRET_PATTERNS, 1))
+_hits = ", ".join(f"CASE WHEN regexp_matches(text, {sql_str(p)}) THEN '{i}' END" for i, p in enumerate(K.SECRET_PATTERNS[:6], 1))
 QUERIES["secret_hits"] = (
     secret_hits,
     f"""WITH h AS (SELECT doc_id, array_to_string(list_filter([{_hits}, CASE WHEN regexp_matches(regexp_replace(text, {sql_str(_PLACEHOLDER)}, ' ', 'g'), {sql_str(_ANYURL)}) THEN '7' END],
@@ -42,15 +42,15 @@ QUERIES["secret_hits"] = (
 
 
 def generated_hits(spark, folder):
-    """Per source: texts whose opening comment says they are generated; licence lines count as the marker here too."""
-    rows = table(spark, folder, "documents").select("source", T.is_generated(F.col("text")).alias("g"), F.substring("text", 1, 4096).rlike(r"(?i)(?:^|\n)\s*(?:copyright|licen[cs]e|licensed)").alias("l"))
-    return rows.groupBy("source").agg(F.count_if("g").cast("bigint").alias("generated"), F.count_if("l").cast("bigint").alias("licence_opening"))
+    """Per source: texts whose opening comment says they are generated, and texts with a licence line anywhere."""
+    rows = table(spark, folder, "documents").select("source", T.is_generated(F.col("text")).alias("g"), F.rlike("text", F.lit(r"(?i)(?:^|\n)\s*(?:copyright|licen[cs]e|licensed)")).alias("l"))
+    return rows.groupBy("source").agg(F.count_if("g").cast("bigint").alias("generated"), F.count_if("l").cast("bigint").alias("with_licence_line"))
 
 
 QUERIES["generated_hits"] = (
     generated_hits,
     r"""SELECT source, CAST(count_if(regexp_matches(substr(text, 1, 4096), '(?i)(?:^|\n)\s*(?://|/\*|\*)[^\n]*(?:@generated|auto.generated|do not edit)')) AS BIGINT) AS generated,
-  CAST(count_if(regexp_matches(substr(text, 1, 4096), '(?i)(?:^|\n)\s*(?:copyright|licen[cs]e|licensed)')) AS BIGINT) AS licence_opening FROM documents GROUP BY source""",
+  CAST(count_if(regexp_matches(text, '(?i)(?:^|\n)\s*(?:copyright|licen[cs]e|licensed)')) AS BIGINT) AS with_licence_line FROM documents GROUP BY source""",
 )
 
 
