@@ -35,7 +35,7 @@ from pairloom.llm.tables import id_and_text, read
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = 0x2581
 UNIGRAM, BPE = 1, 2
-SLICE = 1 << 20
+SLICE = 1 << 22
 REMEMBERED = 4_000_000
 CELLS = 1 << 20
 
