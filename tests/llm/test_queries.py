@@ -16,7 +16,7 @@ def test_query_equals_its_sql(spark, folder, name):
 
 def test_all_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_pipeline_equals_its_steps(spark, folder):
