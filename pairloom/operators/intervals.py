@@ -61,7 +61,8 @@ def stabbed(points: DataFrame, ranges: DataFrame, group: str, level: int) -> Dat
     # Levels no range has are left out before the shuffle; there are at most 64.
     used = F.broadcast(outer.select(F.col("_c.level").alias("_l")).distinct())
     inner = inner.join(used, F.col("_c.level") == F.col("_l"), "left_semi")
-    return inner.join(outer, (inner[group] == outer["_g"]) & (inner["_c"] == outer["_c"])).drop("_g", "_c")
+    # Spark estimates the cells as no larger than the ranges they come from and would broadcast millions of them.
+    return inner.join(outer.hint("merge"), (inner[group] == outer["_g"]) & (inner["_c"] == outer["_c"])).drop("_g", "_c")
 
 
 def containing(inner: DataFrame, outer: DataFrame, group: str, level: int | None = None) -> DataFrame:

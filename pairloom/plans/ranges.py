@@ -34,7 +34,7 @@ def references(spark, folder):
     items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", _day("l_shipdate").alias("start"))
     files = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("file"))
     # An item may come twice under one number; each number is one reference.
-    one = items.join(files, "l_orderkey").groupBy("file", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref")).agg(
+    one = items.join(files.hint("merge"), "l_orderkey").groupBy("file", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref")).agg(
         F.min(F.struct("start", F.col("l_quantity").cast("bigint").alias("q"), F.col("l_linestatus").alias("role"))).alias("r")
     )
     return one.select("file", "ref", F.col("r.start").alias("start"), (F.col("r.start") + F.col("r.q")).alias("end"), F.col("r.role").alias("role"))

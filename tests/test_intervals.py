@@ -62,3 +62,10 @@ def test_empty_tables(spark):
     table = spark.createDataFrame([], "id long, file string, start long, end long")
     assert I.containing(table, table, "file").count() == 0 and I.overlapping_pairs(table, "file", "id").count() == 0
     assert I.owners(table, table, "file", "id", "id").count() == 0
+
+
+def test_cells_are_never_broadcast(spark, rows):
+    table = spark.createDataFrame(rows, "id long, file string, start long, end long")
+    plan = I.stabbed(table, table, "file", 11)._jdf.queryExecution().executedPlan().toString()
+    # The only broadcast is that of the levels in use, for the semi join.
+    assert "SortMergeJoin" in plan and plan.count("BroadcastExchange") == 1 and "BroadcastHashJoin [_c" in plan and "Inner, BuildRight" not in plan and "Inner, BuildLeft" not in plan
