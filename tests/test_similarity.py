@@ -3,6 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from pairloom.functions import text as T
 from pairloom.operators import similarity as S
 from pairloom.operators.components import connected_components
 from pairloom.operators.skew import blocked_self_join_sides, lookup_join
@@ -104,3 +105,25 @@ def test_coverage_counts_union_of_windows(spark):
     df = spark.createDataFrame([(1, 2, small, other)], "a long, b long, small array<string>, other array<string>")
     assert S.token_coverage(df, 3, "c").first().c == 1.0
     assert S.token_coverage(df, 5, "c").first().c == 0.6
+
+
+def test_coverage_equals_brute_force_without_a_shuffle(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        small = [rng.choice("abcd") for _ in range(rng.choice([0, 1, 9, 10, 30, 80]))]
+        other = small[rng.randint(0, 9):] + [rng.choice("abcd") for _ in range(rng.randint(0, 40))]
+        rows.append((i, i + 100, small, other))
+    df = spark.createDataFrame(rows, "a long, b long, small array<string>, other array<string>")
+    hashed = df.select("a", "b", *[T.token_hashes(F.col(c)).alias(c) for c in ("small", "other")])
+    found = S.with_coverage(hashed, {"c3": 3, "c10": 10})
+    got = {r.a: (r.c3, r.c10) for r in found.collect()}
+    for a, _, small, other in rows:
+        for k, value in zip((3, 10), got[a]):
+            known = {tuple(other[i : i + k]) for i in range(len(other) - k + 1)}
+            covered = {p for i in range(len(small) - k + 1) if tuple(small[i : i + k]) in known for p in range(i, i + k)}
+            assert value == (len(covered) / len(small) if small else 0.0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    plan = S.token_coverage(df, 3, "c")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
