@@ -22,6 +22,8 @@ from pairloom.session import ensure_checkpoint_dir
 # Near copies: shingles of five words, similarity of 0.8 or more.
 SHINGLE = 5
 PER_CENT = 80
+# Executors come to the encoder with the memory of the stages before, so it takes less text at a time than on its own.
+ENCODER_SLICE = 1 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_pieces, ids): every document as piece ids."""
-    encoded = pieces.encode_documents(docs, pieces.load_model())
+    encoded = pieces.encode_documents(docs, pieces.load_model(), slice_bytes=ENCODER_SLICE)
     return encoded.select("doc_id", F.when(F.col("ids").isNotNull(), F.size("ids")).cast("long").alias("n_pieces"), "ids")
 
 

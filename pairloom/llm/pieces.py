@@ -353,23 +353,23 @@ def decode_ids(model: Model, ids: np.ndarray, counts: np.ndarray) -> tuple[np.nd
     return raw, offsets
 
 
-def _slices(column: pa.Array):
-    """(first row, texts) of runs of rows of about SLICE bytes; only one run's texts are Python strings at a time."""
+def _slices(column: pa.Array, size: int = SLICE):
+    """(first row, texts) of runs of rows of about ``size`` bytes; only one run's texts are Python strings at a time."""
     _, bounds = W.text_buffer(column)
     low = 0
     while low < len(column):
-        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + SLICE, "right")) - 1)
+        high = max(low + 1, int(np.searchsorted(bounds, bounds[low] + size, "right")) - 1)
         yield low, column.slice(low, high - low).to_pylist()
         low = high
 
 
-def encode_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids): the piece ids of every whole text."""
+def encode_documents(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = SLICE) -> DataFrame:
+    """(doc_id, ids): the piece ids of every whole text. Smaller slices hold less at a time and encode words more often."""
 
     def run(batches):
         pairs = Pairs(model)
         for batch in batches:
-            for low, texts in _slices(batch.column(1)):
+            for low, texts in _slices(batch.column(1), slice_bytes):
                 ids, counts = encode_texts(model, pairs, texts)
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 given = pa.array([t is None for t in texts])

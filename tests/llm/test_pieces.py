@@ -70,3 +70,11 @@ def test_slices_do_not_matter(model, library):
     whole, counts = pieces.encode_texts(model, pairs, texts)
     parts = [pieces.encode_texts(model, pairs, [t])[0] for t in texts]
     assert (whole == np.concatenate(parts)).all() and counts.tolist() == [len(p) for p in parts]
+
+
+def test_slices_keep_to_the_size_asked_for():
+    texts = ["x" * n for n in (10, 50, 40, 200, 5)]
+    for size in (60, 100):
+        runs = [run for _, run in pieces._slices(pieces.pa.array(texts), size)]
+        assert [t for run in runs for t in run] == texts
+        assert all(len(run) == 1 or sum(map(len, run)) <= size for run in runs)
