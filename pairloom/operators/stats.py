@@ -6,8 +6,14 @@ ordered. Counts stay integers until the last division, so results do not depend
 
 from __future__ import annotations
 
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from pairloom import constants as K
 from pairloom.functions import measures as M
@@ -16,6 +22,14 @@ from pairloom.session import cut_lineage, slice_count
 
 WHOLE = "decimal(38,0)"
 
+# Functions that run in tasks are pickled by value, so executors need no copy of this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# Resamples that one task row draws, draws made at a time, and items whose cells travel as one array.
+REPLICATES_AT_ONCE = 50
+STRETCH = 1 << 16
+BLOCK_ITEMS = 1 << 18
+
 
 def _histogram(df: DataFrame, keys: list[str], score: str, label: str, weight: Column | None) -> DataFrame:
     w = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
@@ -155,38 +169,91 @@ def resample_weights(items: DataFrame, keys: list[str], order_by: list, resample
     return weights.join(placed, [*keys, "_at"]).drop("_at")
 
 
+def _positions(seed: int, first: int, count: int, n: int) -> np.ndarray:
+    """Items 0 to n - 1 that draws ``first`` and on of the 32-bit generator fall on, as ``with_mulberry32`` gives them."""
+    step = (np.arange(first + 1, first + count + 1) & 0xFFFFFFFF).astype(np.uint32) * np.uint32(0x6D2B79F5)
+    a = np.uint32(seed & 0xFFFFFFFF) + step
+    t = (a ^ (a >> np.uint32(15))) * (a | np.uint32(1))
+    t ^= t + (t ^ (t >> np.uint32(7))) * (t | np.uint32(61))
+    return np.floor((t ^ (t >> np.uint32(14))) / 4294967296.0 * n).astype(np.int64)
+
+
+def _drawn_cells(groups: DataFrame, keys: list[str], resamples: int, by_block: bool) -> DataFrame:
+    """(keys, replicate, _cell, weight): draws by cell, counted in the task that makes them; no draw leaves it.
+
+    ``groups`` has the keys, _n, _seed and _cells: the first positions of the cells in order, and the number of a cell
+    is its place there; or, ``by_block``, the cell numbers of the items from position _base on, -1 for none.
+    """
+    names = [*keys, "replicate", "_cell", "weight"]
+    schema = StructType([*[groups.schema[k] for k in keys], StructField("replicate", IntegerType()), StructField("_cell", IntegerType()), StructField("weight", LongType())])
+    turns = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1), F.lit(REPLICATES_AT_ONCE)))
+    base = F.col("_base") if by_block else F.lit(0).cast("bigint")
+    rows = groups.select(*keys, "_n", F.col("_seed").cast("bigint").alias("_seed"), base.alias("_base"), "_cells", turns.alias("_turn"))
+    rows = rows.repartition(slice_count(groups.sparkSession), *keys, "_base", "_turn")
+
+    def count(cells, n, seed, base, replicate):
+        held = np.zeros(len(cells) if not by_block else int(cells.max(initial=-1)) + 1, np.int64)
+        for j in range(0, n, STRETCH):
+            at = _positions(seed, replicate * n + j, min(STRETCH, n - j), n)
+            if by_block:
+                at = at[(at >= base) & (at < base + len(cells))] - base
+                found = cells[at]
+                held += np.bincount(found[found >= 0], minlength=len(held))
+            else:
+                held += np.bincount(np.searchsorted(cells, at, "right") - 1, minlength=len(held))
+        return held
+
+    def run(batches):
+        for batch in batches:
+            column = {c: batch.column(c) for c in ("_n", "_seed", "_base", "_turn")}
+            for i in range(batch.num_rows):
+                n, seed, base, turn = (column[c][i].as_py() for c in ("_n", "_seed", "_base", "_turn"))
+                cells = batch.column("_cells")[i].values.to_numpy()
+                for replicate in range(turn, min(turn + REPLICATES_AT_ONCE, resamples)):
+                    held = count(cells, n, seed, base, replicate)
+                    drawn = np.flatnonzero(held)
+                    group = [pa.array([batch.column(k)[i].as_py()] * len(drawn), batch.column(k).type) for k in keys]
+                    found = [pa.array(np.full(len(drawn), replicate, np.int32)), pa.array(drawn.astype(np.int32)), pa.array(held[drawn])]
+                    yield pa.RecordBatch.from_arrays([*group, *found], names=names)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _numbered(cells: DataFrame, keys: list[str], cell: list[str]) -> DataFrame:
+    """Cells with _cell, their number from 0 in the order of the cell columns, and _first, the items before them."""
+    placed = running(cells, keys, cell, sums={"_cell": F.lit(1).cast("bigint"), "_upto": F.col("_items")})
+    return cut_lineage(placed.select(*keys, *cell, (F.col("_cell") - 1).cast("int").alias("_cell"), (F.col("_upto") - F.col("_items")).alias("_first"), "_items"))
+
+
 def resample_cells(items: DataFrame, keys: list[str], cell: list[str], resamples: int, seed: Column) -> DataFrame:
     """How often each cell of equal items is drawn in each resample: (keys, cell columns, replicate, weight).
 
     Items stand in the order of the cell columns, so a drawn position falls into a cell by the cells' first positions,
-    found by bisection in an array of as many numbers as a group has cells. Draws are counted by cell in the task that
-    makes them; no draw is joined or shuffled. Cells are few (scores in hundredths and a label); items may be many.
+    found by bisection in an array of as many numbers as a group has cells. Cells are few (scores in hundredths and a
+    label); items may be many.
     """
-    cells = items.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_items"))
-    placed = cut_lineage(running(cells, keys, cell, sums={"_upto": F.col("_items")}).withColumn("_first", F.col("_upto") - F.col("_items")))
-    sizes = cut_lineage(
-        placed.groupBy(*keys).agg(F.sum("_items").alias("_n"), F.sort_array(F.collect_list("_first")).alias("_starts")).withColumn("_seed", seed)
-    )
-    most = sizes.agg(F.max(F.size("_starts"))).first()[0] or 1
-    stretch = 4096
-    draws = (
-        sizes.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-        .withColumn("_turns", F.ceil(F.col("_n") / stretch).cast("int"))
-        .withColumn("_turn", F.explode(F.sequence(F.lit(0), F.col("_turns") - 1)))
-        .repartition(slice_count(items.sparkSession), *keys, "replicate", "_turn")
-        .withColumn("_from", F.col("_turn").cast("bigint") * stretch)
-        .withColumn("_j", F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (stretch - 1), F.col("_n") - 1))))
-    )
-    drawn = M.with_mulberry32(draws, F.col("_seed"), F.col("replicate").cast("bigint") * F.col("_n") + F.col("_j"), "_u")
-    drawn = drawn.withColumn("_at", F.floor(F.col("_u") * F.col("_n")).cast("bigint")).withColumn("_cell", F.lit(1))
-    step = 1 << (most.bit_length() - 1)
-    while step:
-        further = F.col("_cell") + step
-        below = F.coalesce(F.try_element_at("_starts", further) <= F.col("_at"), F.lit(False))
-        drawn = drawn.withColumn("_cell", F.when(below, further).otherwise(F.col("_cell")))
-        step >>= 1
-    weights = drawn.withColumn("_first", F.element_at("_starts", F.col("_cell"))).groupBy(*keys, "replicate", "_first").agg(F.count(F.lit(1)).alias("weight"))
-    return weights.join(placed.select(*keys, *cell, "_first"), [*keys, "_first"]).drop("_first")
+    placed = _numbered(items.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_items")), keys, cell)
+    groups = placed.groupBy(*keys).agg(F.sum("_items").alias("_n"), F.sort_array(F.collect_list("_first")).alias("_cells")).withColumn("_seed", seed)
+    return _drawn_cells(groups, keys, resamples, False).join(placed.select(*keys, *cell, "_cell"), [*keys, "_cell"]).drop("_cell")
+
+
+def resample_cells_in_order(items: DataFrame, keys: list[str], cell: list[str], order_by: list, resamples: int, seed: Column) -> DataFrame:
+    """The same of items in a given order, cells with a null left out.
+
+    The cells of BLOCK_ITEMS items in order are one array. Each block counts what falls on it of all draws of its group: a
+    draw is made again for every block, and neither a draw nor an item is shuffled by position.
+    """
+    known = items.groupBy(*keys, *cell).agg(F.count(F.lit(1)).alias("_items")).where(" and ".join(f"`{c}` is not null" for c in cell))
+    placed = _numbered(known, keys, cell).select(*keys, *cell, "_cell")
+    at = F.col("_at") - 1
+    ordered = ranked(items.join(placed, [*keys, *cell], "left").select(*keys, *order_by, F.coalesce("_cell", F.lit(-1)).alias("_cell")), keys, order_by, name="_at")
+    block = F.floor(at / BLOCK_ITEMS).cast("bigint") * BLOCK_ITEMS
+    own = F.transform(F.sort_array(F.collect_list(F.struct("_at", "_cell"))), lambda x: x["_cell"])
+    blocks = cut_lineage(ordered.groupBy(*keys, block.alias("_base")).agg(own.alias("_cells"), F.count(F.lit(1)).alias("_held")))
+    sizes = blocks.groupBy(*keys).agg(F.sum("_held").alias("_n")).withColumn("_seed", seed)
+    drawn = _drawn_cells(blocks.drop("_held").join(sizes, keys), keys, resamples, True)
+    counted = drawn.groupBy(*keys, "replicate", "_cell").agg(F.sum("weight").alias("weight"))
+    return counted.join(placed, [*keys, "_cell"]).drop("_cell")
 
 
 def _at_index(values: DataFrame, keys: list[str], value: str, low: Column, high: Column) -> DataFrame:
@@ -224,7 +291,7 @@ def bootstrap_auc(df: DataFrame, keys: list[str], score: str, label: str, resamp
 
 def bootstrap_auc_in_order(df: DataFrame, keys: list[str], score: str, label: str, order_by: list, resamples: int, seed: Column) -> DataFrame:
     """The same of rows in a given order, which gives groups of the same items the same draws."""
-    weighted = resample_weights(df.select(*keys, score, label, *order_by), keys, order_by, resamples, seed)
+    weighted = resample_cells_in_order(df.select(*keys, score, label, *order_by), keys, [label, score], order_by, resamples, seed)
     return auc(weighted, [*keys, "replicate"], score, label, weight=F.col("weight")).select(*keys, "replicate", "auc")
 
 
