@@ -380,10 +380,8 @@ def case_audit_near(spark, folder):
     window = lambda i: F.xxhash64("lang", *[F.get(grams, i + d) for d in range(K.CASE_WIDTH)])
     items = F.when(F.size(grams) >= K.CASE_WIDTH, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(grams) - K.CASE_WIDTH), window))).otherwise(F.array().cast("array<bigint>"))
     written = cut_lineage(classes)
-    sets = cut_lineage(written.select("cid", F.lit(1).alias("lines"), items.alias("items")).where(F.size("items") > 0))
-    pairs = S.attach(cut_lineage(S.candidate_pairs(sets, K.CASE_NEAR_DUPLICATE)), sets.select("cid", "items"))
-    j = M.jaccard(F.col("items_a"), F.col("items_b"))
-    return pairs.select("a", "b", j.alias("jaccard")).where(F.col("jaccard") >= K.CASE_NEAR_DUPLICATE)
+    sets = written.select("cid", F.lit(1).alias("lines"), items.alias("items")).where(F.size("items") > 0)
+    return S.bounded_pairs(sets, K.CASE_NEAR_DUPLICATE, 2.0)
 
 
 QUERIES["case_audit_near"] = (
