@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from pairloom.functions import measures as M
 from pairloom.functions import text as T
-from pairloom.operators import similarity as S
 from pairloom.operators.nearest import nearest_by_overlap
 from pairloom.plans import bindings as B
 from pairloom.plans import statistics as X
@@ -56,11 +57,9 @@ def hard_negatives(spark, folder):
     """Negatives that share at least HARD of their surface with a positive of their language: count, mean score, rate at
     the cut. Languages without any keep a row."""
     rows = surfaces(spark, folder)
-    sets = rows.where(F.size("entries") > 0).select(F.col("id").alias("cid"), F.lit(1).alias("lines"), F.col("entries").alias("items"))
-    close = S.bounded_pairs(sets, HARD, 2.0).select("a", "b")
-    side = lambda s: rows.select(F.col("id").alias(s), F.col("lang").alias(f"lang_{s}"), F.col("quality").alias(f"q_{s}"))
-    mixed = close.join(side("a"), "a").join(side("b"), "b").where("lang_a = lang_b and ((q_a = 1 and q_b = 0) or (q_a = 0 and q_b = 1))")
-    hard = mixed.select(F.when(F.col("q_a") == 0, F.col("a")).otherwise(F.col("b")).alias("id")).distinct().withColumn("hard", F.lit(True))
+    # Without a length in the cost, a negative's nearest positive is the one it shares most with.
+    nearest = nearest_by_overlap(rows.where("quality = 0"), rows.where("quality = 1"), "lang", 1, OVERLAP_UNIT, math.inf)
+    hard = nearest.where(F.col("overlap") >= HARD).select(F.col("query").alias("id"), F.lit(True).alias("hard"))
     negatives = X.scored(spark, folder).where("quality = 0").select("id", "lang", "p1").join(hard, "id", "left")
     is_hard, cents = F.col("hard").isNotNull(), F.floor(F.col("p1") * 100 + F.lit(0.5)).cast("bigint")
     n = F.count_if(is_hard)
