@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pairloom import constants as K
-from pairloom.functions import measures as M
 from pairloom.functions import text as T
 from pairloom.operators import resolution as R
 from pairloom.operators import sampling as G
 from pairloom.operators import similarity as S
+from pairloom.operators.rewording import reworded
 from pairloom.plans import bindings as B
 from pairloom.plans.statistics import D
 from pairloom.plans.texts import SQL_NAMED, named_pages
@@ -144,14 +144,9 @@ def rewrite_chain(spark, folder):
     A step renames the words whose hash falls under its share; the stop level is drawn per document.
     """
     docs = B.units(spark, folder).select("id", "tokens").where(F.size("tokens") >= 20)
-    share = lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("bigint").cast("double") / F.lit(65536.0)
     stop = T.unit_hash(F.lit("stop"), F.col("id")) * 0.4 + 0.2
-    rows = cut_lineage(docs.withColumn("stop", stop)).withColumn("step", F.explode(F.array(*[F.lit(s) for s in STEPS])))
-    written = cut_lineage(rows.withColumn("changed", F.transform("tokens", lambda w: F.when(share(w) < F.col("step"), F.lit("id")).otherwise(w))))
-    before, after = T.shingle_hashes(F.col("tokens")), T.shingle_hashes(F.col("changed"))
-    scored = cut_lineage(written.select("id", "step", "stop", before.alias("x"), after.alias("y"))).select("id", "step", "stop", M.jaccard(F.col("x"), F.col("y")).alias("j"))
-    done = scored.where(F.col("j") <= F.col("stop")).groupBy("id").agg(F.min("step").alias("step"), F.min_by("j", "step").alias("jaccard"))
-    return docs.select("id").join(done, "id", "left").select("id", "step", "jaccard")
+    rows = docs.select("id", stop.alias("stop"), "tokens")
+    return reworded(rows, STEPS)
 
 
 QUERIES["rewrite_chain"] = (
