@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairloom import constants as K
 from pairloom.functions import measures as M
 from pairloom.operators.ordered import ranked
+from pairloom.session import cut_lineage
 
 
 def signal_table(spark: SparkSession) -> DataFrame:
@@ -103,7 +104,21 @@ def queue(cells: DataFrame) -> DataFrame:
     listed = cells.where(F.col("band").isin("worth_a_look", "uncertain")).withColumn(
         "part", F.when(F.col("band") == "worth_a_look", 0).otherwise(1).cast("bigint")
     )
-    return ranked(listed, [], ["part", "position", F.col("p_positive").desc(), "pack_id"], name="number")
+    # Dealing rows by range reads them twice, so cells are made once and written.
+    return ranked(cut_lineage(listed), [], ["part", "position", F.col("p_positive").desc(), "pack_id"], name="number")
+
+
+def queue_runs(cells: DataFrame) -> DataFrame:
+    """(part, signal_id, items, first_number, last_number): the runs of equal question in the queue.
+
+    The queue is ordered by part and position first, and a question has one position, so counts settle where a run begins;
+    no cell is ordered. There are at most twice as many runs as questions.
+    """
+    listed = cells.where(F.col("band").isin("worth_a_look", "uncertain"))
+    part = F.when(F.col("band") == "worth_a_look", 0).otherwise(1).cast("bigint").alias("part")
+    runs = listed.groupBy(part, "position", "signal_id").agg(F.count(F.lit(1)).alias("items"))
+    last = F.sum("items").over(Window.orderBy("part", "position", "signal_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return runs.select("part", "signal_id", "items", (last - F.col("items") + 1).alias("first_number"), last.alias("last_number"))
 
 
 def length_and_score_ranks(units: DataFrame) -> DataFrame:

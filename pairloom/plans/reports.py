@@ -180,8 +180,7 @@ QUERIES["findings_queue"] = (
 
 def queue_groups(spark, folder):
     """Runs of equal question in the queue: after ordering they are plain groups."""
-    q = R.queue(cells(spark, folder).select("signal_id", "position", "pack_id", "p_positive", "band"))
-    return q.groupBy("part", "signal_id").agg(F.count(F.lit(1)).alias("items"), F.min("number").alias("first_number"), F.max("number").alias("last_number"))
+    return R.queue_runs(cells(spark, folder).select("signal_id", "position", "band"))
 
 
 QUERIES["queue_groups"] = (
