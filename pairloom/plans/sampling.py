@@ -9,6 +9,7 @@ from pairloom.functions import text as T
 from pairloom.operators import resolution as R
 from pairloom.operators import sampling as G
 from pairloom.operators import similarity as S
+from pairloom.operators.matching import exclusive_nearest
 from pairloom.operators.rewording import reworded
 from pairloom.plans import bindings as B
 from pairloom.plans.statistics import D
@@ -60,15 +61,11 @@ QUERIES["stratified_sample"] = (stratified_sample, None)
 def nearest_controls(spark, folder):
     """Every labelled positive with a control of like length of its source, no control twice."""
     docs = table(spark, folder, "documents").select("doc_id", "source", T.line_count(F.col("text")).alias("lines"), "n_chars")
-    rows = cut_lineage(docs.join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id"))
-    reach = F.greatest(F.lit(2), F.floor(F.col("lines") * F.lit(0.1) + F.lit(0.5))).cast("bigint")
-    positives = rows.where(F.col("quality") == 0).select(F.col("doc_id").alias("positive"), "source", F.col("lines").alias("_l"), F.col("n_chars").alias("_n"), reach.alias("_reach"))
-    # The caliper becomes an equi-join: each positive is spread over the line counts it accepts.
-    spread = positives.withColumn("lines", F.explode(F.sequence(F.col("_l") - F.col("_reach"), F.col("_l") + F.col("_reach"))))
-    controls = rows.where(F.col("quality") == 1).select(F.col("doc_id").alias("control"), "source", "lines", "n_chars")
-    cost = F.abs(F.col("lines") - F.col("_l")).cast("double") / F.greatest("_l", F.lit(8)) * 4 + F.abs(F.col("n_chars") - F.col("_n")).cast("double") / F.greatest("_n", F.lit(50))
-    edges = spread.join(controls, ["source", "lines"]).select("positive", F.col("positive").alias("priority"), "control", cost.alias("cost"))
-    return G.exclusive_match(edges)
+    rows = cut_lineage(docs.join(table(spark, folder, "labels").select("doc_id", "quality"), "doc_id").distinct())
+    rows = rows.select(F.col("doc_id").alias("id"), "source", F.col("lines").alias("first"), F.col("n_chars").alias("second"), "quality")
+    reach = F.greatest(F.lit(2), F.floor(F.col("first") * F.lit(0.1) + F.lit(0.5))).cast("bigint")
+    positives = rows.where(F.col("quality") == 0).withColumn("reach", reach).withColumn("priority", F.col("id"))
+    return exclusive_nearest(positives, rows.where(F.col("quality") == 1), "source")
 
 
 QUERIES["nearest_controls"] = (
