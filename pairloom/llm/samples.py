@@ -24,12 +24,17 @@ def balanced_sample(rows: DataFrame, by: str, per_value: int) -> DataFrame:
     return rows.where(keep)
 
 
-def labelled_ids(labels: DataFrame, label: str, per_value: int) -> DataFrame:
-    """(doc_id, y): a bounded sample of the training fold's labels, rows without id or label left out. A document
-    labelled twice counts as its largest label. At most about 2 * per_value rows, so it may be broadcast."""
+def training_labels(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y): all labels of the training fold, rows without id or label left out. A document labelled twice counts
+    as its largest label."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
-    return balanced_sample(known.groupBy("doc_id").agg(F.max("y").alias("y")), "y", per_value)
+    return known.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
+def labelled_ids(labels: DataFrame, label: str, per_value: int) -> DataFrame:
+    """(doc_id, y): a bounded sample of training_labels. At most about 2 * per_value rows, so it may be broadcast."""
+    return balanced_sample(training_labels(labels, label), "y", per_value)
 
 
 def with_sample(docs: DataFrame, sample: DataFrame) -> DataFrame:
