@@ -25,6 +25,7 @@ score is the share of positive labels (0 without labels); an empty table gives n
 
 from __future__ import annotations
 
+import copy
 import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -149,24 +150,31 @@ class _Net:
         self.out_bias = np.full(1, np.log(prior / (1 - prior)), np.float32)
         self.memory = {k: np.full_like(getattr(self, k), 1e-2) for k in ("embedding", "kernel", "bias", "out", "out_bias")}
 
-    def flat(self) -> tuple[np.ndarray, np.ndarray]:
-        """All parameters and their memory as rows of DIM values: the embeddings', then those of the rest, filled up."""
-
-        def rows(values):
-            rest = np.concatenate([values(k).ravel() for k in self.memory if k != "embedding"])
-            return np.concatenate([values("embedding"), np.pad(rest, (0, -len(rest) % DIM)).reshape(-1, DIM)])
-
-        return rows(lambda k: getattr(self, k)), rows(self.memory.get)
-
-    def load(self, parameters: np.ndarray, memory: np.ndarray):
-        for rows, put in ((parameters, lambda k, v: setattr(self, k, v)), (memory, self.memory.__setitem__)):
-            n = len(self.embedding)
-            rest, at = rows[n:].ravel(), 0
-            put("embedding", rows[:n].astype(np.float32))
+    def rest(self) -> np.ndarray:
+        """All but the embeddings as rows of DIM parameters and their memory, filled up."""
+        kinds = [k for k in self.memory if k != "embedding"]
+        flat = [np.concatenate([own[k].ravel() for k in kinds]) for own in (vars(self), self.memory)]
+        return np.concatenate([np.pad(x, (0, -len(x) % DIM)).reshape(-1, DIM) for x in flat], 1)
+
+    def change_since(self, before: _Net) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of changed rows and the change of their parameters and memory; the rest's rows follow the embeddings'."""
+        at = np.flatnonzero(((self.embedding != before.embedding) | (self.memory["embedding"] != before.memory["embedding"])).any(1))
+        moved = [self.embedding[at] - before.embedding[at], self.memory["embedding"][at] - before.memory["embedding"][at]]
+        rest = self.rest() - before.rest()
+        return np.concatenate([at, len(self.embedding) + np.arange(len(rest))]), np.concatenate([np.concatenate(moved, 1), rest])
+
+    def add(self, row: np.ndarray, change: np.ndarray):
+        """Move by a change as change_since gives it, its rows in any order."""
+        own = row < len(self.embedding)
+        rest = self.rest()
+        self.embedding[row[own]] += change[own, :DIM]
+        self.memory["embedding"][row[own]] += change[own, DIM:]
+        rest[row[~own] - len(self.embedding)] += change[~own]
+        for values, flat in ((vars(self), rest[:, :DIM].ravel()), (self.memory, rest[:, DIM:].ravel())):
+            at = 0
             for k in [k for k in self.memory if k != "embedding"]:
-                shape = getattr(self, k).shape
-                put(k, rest[at : at + int(np.prod(shape))].astype(np.float32).reshape(shape))
-                at += int(np.prod(shape))
+                values[k] = flat[at : at + values[k].size].reshape(values[k].shape)
+                at += values[k].size
 
     def step(self, name: str, grad: np.ndarray, at=slice(None)):
         memory = self.memory[name]
@@ -271,7 +279,7 @@ def _count_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _rows_of_buckets(buckets: np.ndarray) -> np.ndarray:
     """Row of every bucket, as _ids."""
-    table = np.zeros(1 << BITS, np.int64)
+    table = np.zeros(1 << BITS, np.int32)
     table[buckets.astype(np.int64)] = np.arange(1, len(buckets) + 1)
     return table
 
@@ -283,14 +291,12 @@ def _epoch(dealt: DataFrame, net: _Net, buckets: np.ndarray, weights: tuple[floa
 
     def run(batches):
         first, buckets = shared.value
-        table, before = _rows_of_buckets(buckets), first.flat()
+        table = _rows_of_buckets(buckets)
         own, block = None, None
 
         def changes():
-            after = own.flat()
-            at = np.flatnonzero(((after[0] != before[0]) | (after[1] != before[1])).any(1))
-            values = np.concatenate([after[i][at] - before[i][at] for i in (0, 1)], 1)
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(v) for v in values.T)], names=["row", *names])
+            row, values = own.change_since(first)
+            return pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), *(pa.array(v) for v in values.T)], names=["row", *names])
 
         for batch in _sliced(batches):
             codes, bounds = _lists(batch.column(2))
@@ -299,8 +305,7 @@ def _epoch(dealt: DataFrame, net: _Net, buckets: np.ndarray, weights: tuple[floa
                 if blocks[a] != block:
                     if own is not None:
                         yield changes()
-                    own, block = _Net(np.zeros(len(first.embedding)), np.random.default_rng(0), 0.5), blocks[a]
-                    own.load(*before)
+                    own, block = copy.deepcopy(first), blocks[a]
                     rng = np.random.default_rng((epoch, int(block)))
                 for at in np.array_split(a + rng.permutation(b - a), max(1, (b - a) // BATCH)):
                     joined = np.concatenate([ids[bounds[i] : bounds[i + 1]] for i in at])
@@ -310,11 +315,7 @@ def _epoch(dealt: DataFrame, net: _Net, buckets: np.ndarray, weights: tuple[floa
 
     moved = dealt.select("block", "y", "words").mapInArrow(W.tidy(run), ", ".join(["row int", *(f"{n} float" for n in names)]))
     mean = moved.groupBy("row").agg(*(F.avg(n).cast("float").alias(n) for n in names)).toArrow()
-    at = mean.column("row").to_numpy()
-    state = net.flat()
-    for kind, values in zip("pm", state):
-        values[at] += np.stack([mean.column(f"{kind}{i}").to_numpy() for i in range(DIM)], 1)
-    net.load(*state)
+    net.add(mean.column("row").to_numpy(), np.stack([mean.column(n).to_numpy() for n in names], 1))
     shared.destroy()
 
 
@@ -393,8 +394,8 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, block_texts: int = BLO
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     coded = _coded(docs.join(F.broadcast(ids) if n_ids <= SENT_IDS else ids, "doc_id"))
     # Copies meet in one block and teach once; blocks are in order of the digest, which is as good as chance.
-    copy = F.row_number().over(Window.partitionBy("digest", "y").orderBy(F.col("lang").asc_nulls_last()))
-    dealt = coded.repartition(max(1, -(-n_ids // block_texts)), "digest").withColumn("copy", copy).where("copy = 1")
+    turn = F.row_number().over(Window.partitionBy("digest", "y").orderBy(F.col("lang").asc_nulls_last()))
+    dealt = coded.repartition(max(1, -(-n_ids // block_texts)), "digest").withColumn("turn", turn).where("turn = 1")
     quarter = F.pmod(F.xxhash64(F.lit("kept"), "digest"), F.lit(4)) == 0
     dealt = cut(dealt.select(F.spark_partition_id().alias("block"), "y", "lang", quarter.alias("kept"), "words"))
     made = [ids, dealt]
@@ -426,7 +427,10 @@ def score_toxicity(documents: DataFrame, model: Model | float, id_col: str = "do
     docs = id_and_text(documents, id_col, text_col)
     if not isinstance(model, Model):
         return docs.select("doc_id", F.lit(model).alias("score"))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
     def run(batches):
+        model = shared.value
         for batch in batches:
             scores = np.zeros(batch.num_rows)
             for group in W.iter_words(batch.column(1), W.ALNUM):
@@ -435,7 +439,7 @@ def score_toxicity(documents: DataFrame, model: Model | float, id_col: str = "do
                 scores[group.first : group.first + group.rows] = _bend(raw, model.thresholds[_guess(model.languages, ids, group.bounds)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["doc_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(W.tidy(run), "doc_id long, score double")
 
 
 def op1(spark: SparkSession, folder: str) -> DataFrame:
