@@ -31,15 +31,18 @@ def stratified_sample(
 ) -> DataFrame:
     """Up to ``per_stratum`` items per (repo, stratum) in seeded order, with a cap per file and no near copies.
 
-    ``items`` has id, repo, stratum (ordinal), file and content; ``conflicts(a, b)`` lists near copies in both
-    directions. An item is refused when its file is used up, its content was chosen in the repo, or a near
-    copy was chosen in its stratum. Strata go one after the other. Each round looks at the next few
-    candidates per repo only and settles them in order; the rest stays distributed.
+    ``items`` has id, repo, stratum (ordinal), file, content and class (the id if left out); ``conflicts(a, b)`` lists
+    classes of near copies in both directions, with a = b where the members of a class are near copies of each other. An
+    item is refused when its file is used up, its content was chosen in the repo, or a near copy was chosen in its
+    stratum. Strata go one after the other. Each round looks at the next few candidates per repo only and settles them
+    in order; the rest stays distributed.
     """
     batch = per_stratum * 2
+    if "class" not in items.columns:
+        items = items.withColumn("class", F.col("id"))
     placed = cut_lineage(hash_shuffle(items, ["repo", "stratum"], "id", seed))
     conflicts = cut_lineage(conflicts)
-    chosen = placed.limit(0).select("id", "repo", "stratum", "file", "content")
+    chosen = placed.limit(0).select("id", "repo", "stratum", "file", "content", "class")
     strata = [r[0] for r in placed.select("stratum").distinct().orderBy("stratum").collect()]
     for stratum in strata:
         mine = placed.where(F.col("stratum") == stratum)
@@ -48,20 +51,23 @@ def stratified_sample(
             have = chosen.where(F.col("stratum") == stratum).groupBy("repo").agg(F.count(F.lit(1)).alias("_have"))
             open_rows = mine.join(chosen.select("id"), "id", "left_anti").join(refused, "id", "left_anti").join(have, "repo", "left")
             open_rows = open_rows.where(F.coalesce("_have", F.lit(0)) < per_stratum)
-            blocked_by = chosen.where(F.col("stratum") == stratum).select(F.col("id").alias("a")).join(conflicts, "a").select(F.col("b").alias("id")).distinct()
+            near_chosen = chosen.where(F.col("stratum") == stratum).select("repo", F.col("class").alias("a")).distinct()
+            blocked_by = near_chosen.join(conflicts, "a").select(F.col("repo").alias("_repo"), F.col("b").alias("_class")).distinct()
             used = chosen.groupBy("repo", "file").agg(F.count(F.lit(1)).alias("_used"))
             content = chosen.select("repo", "content").distinct()
-            free = open_rows.join(blocked_by, "id", "left_anti").join(content, ["repo", "content"], "left_anti").join(used, ["repo", "file"], "left")
+            blocked = F.col("repo").eqNullSafe(F.col("_repo")) & (F.col("class") == F.col("_class"))
+            free = open_rows.join(blocked_by, blocked, "left_anti").join(content, ["repo", "content"], "left_anti").join(used, ["repo", "file"], "left")
             free = free.where(F.coalesce("_used", F.lit(0)) < per_file)
             ahead = first_n(free, ["repo"], ["place"], batch, name="_r")
-            ahead = cut_lineage(ahead.select("id", "repo", "file", "content", "place", F.coalesce("_have", F.lit(0)).alias("have"), F.coalesce("_used", F.lit(0)).alias("used")))
+            ahead = cut_lineage(ahead.select("id", "repo", "file", "content", "class", "place", F.coalesce("_have", F.lit(0)).alias("have"), F.coalesce("_used", F.lit(0)).alias("used")))
             if ahead.isEmpty():
                 break
-            edges = conflicts.join(ahead.select(F.col("id").alias("a")), "a").join(ahead.select(F.col("id").alias("b")), "b")
-            near = edges.groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))
-            ready = ahead.join(near, "id", "left")
-            settled = cut_lineage(ready.groupBy("repo").applyInPandas(_settle(per_stratum, per_file), "id long, repo string, file string, content string, taken boolean"))
-            taken = settled.where("taken").select("id", "repo", F.lit(stratum).cast(placed.schema["stratum"].dataType).alias("stratum"), "file", "content")
+            classes = ahead.select("class").distinct()
+            edges = conflicts.join(classes.select(F.col("class").alias("a")), "a").join(classes.select(F.col("class").alias("b")), "b")
+            near = edges.groupBy(F.col("a").alias("class")).agg(F.collect_set("b").alias("near"))
+            ready = ahead.join(near, "class", "left")
+            settled = cut_lineage(ready.groupBy("repo").applyInPandas(_settle(per_stratum, per_file), "id long, repo string, file string, content string, class long, taken boolean"))
+            taken = settled.where("taken").select("id", "repo", F.lit(stratum).cast(placed.schema["stratum"].dataType).alias("stratum"), "file", "content", "class")
             chosen = cut_lineage(chosen.unionByName(taken))
             refused = cut_lineage(refused.unionByName(settled.where(~F.col("taken")).select("id")))
     return chosen.select("id", "repo", "stratum", "file")
@@ -75,16 +81,17 @@ def _settle(per_stratum: int, per_file: int):
         count = int(pdf["have"].max())
         files = dict(zip(pdf["file"], pdf["used"]))
         seen, picked, taken = set(), set(), []
-        for row in pdf.itertuples():
+        # ``class`` is no name of a tuple's field.
+        for row, kind in zip(pdf.itertuples(), pdf["class"]):
             near = set(row.near) if row.near is not None else set()
             ok = count < per_stratum and files[row.file] < per_file and row.content not in seen and not (near & picked)
             if ok:
                 count += 1
                 files[row.file] += 1
                 seen.add(row.content)
-                picked.add(row.id)
+                picked.add(kind)
             taken.append(ok)
-        return pdf.assign(taken=taken)[["id", "repo", "file", "content", "taken"]]
+        return pdf.assign(taken=taken)[["id", "repo", "file", "content", "class", "taken"]]
 
     return settle
 
