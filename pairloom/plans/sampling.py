@@ -51,7 +51,7 @@ def stratified_sample(spark, folder):
     items = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("repo"), band.alias("stratum"), file.alias("file"), F.sha2("text", 256).alias("content"), lines.alias("lines"), B.content_key(T.word_tokens(F.col("text"))).alias("key"))
     # Every member of a class stands for it: texts of the same tokens may differ in case or signs.
     classed = items.join(B.class_ids(spark, folder).withColumnRenamed("cid", "class"), ["key", "lines"]).where(F.col("stratum").isNotNull()).drop("key", "lines")
-    sets = B.classes(spark, folder).where(F.size("items") > 0).select("cid", "copies", F.lit(1).alias("lines"), "items")
+    sets = B.classes(spark, folder).where(B.shingled()).select("cid", "copies", F.lit(1).alias("lines"), "items")
     pairs = cut_lineage(S.bounded_pairs(sets.drop("copies"), K.STRATUM_NEAR, 1.1).select("a", "b"))
     same = sets.where(F.col("copies") > 1).select(F.col("cid").alias("a"), F.col("cid").alias("b"))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(same)
