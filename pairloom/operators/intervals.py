@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairloom.operators.skew import MAX_HOT_KEYS
+from pairloom.session import cut_lineage
+
 # Rows of one group that may share the longest cells on average.
 CELL_ROWS = 50_000
 
@@ -81,16 +84,47 @@ def overlapping_pairs(ranges: DataFrame, group: str, key: str, level: int | None
     return met.select(group, F.least(key, f"r_{key}").alias("a"), F.greatest(key, f"r_{key}").alias("b"))
 
 
-def owners(inner: DataFrame, outer: DataFrame, group: str, key: str, outer_key: str, level: int | None = None) -> DataFrame:
+def dense_levels(rows: DataFrame, group: str, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(_g, _level) of the groups that need shorter cells: those of more than cell_rows rows, never more than MAX_HOT_KEYS."""
+    dense = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), (F.max("start") - F.min("start") + 1).alias("span")).where(F.col("n") > cell_rows)
+    level = F.greatest(F.lit(0), F.floor(F.log2(F.col("span") * cell_rows / F.col("n"))).cast("int"))
+    return dense.orderBy(F.col("n").desc(), group).limit(MAX_HOT_KEYS).select(F.col(group).alias("_g"), level.alias("_level"))
+
+
+def owners(inner: DataFrame, outer: DataFrame, group: str, key: str, outer_key: str, density: DataFrame | None = None, distinct: bool = False) -> DataFrame:
     """(key, owners, innermost, outermost) of every row of inner: how many ranges of outer contain it, the shortest and
-    the longest of them; ties go to the smaller outer key. Rows without an owner have 0 and nulls."""
-    pairs = containing(inner, outer, group, level)
+    the longest of them; ties go to the smaller outer key. Rows without an owner have 0 and nulls, as have rows without a
+    key; rows of one key have the owners of all of them.
+
+    Each row lies in one cell of its group, as long as the longest range, and meets the ranges that touch the cell; its
+    owners are counted where they meet. Groups that stand dense in ``density`` (group and start; all rows if left out)
+    have shorter cells. ``distinct`` says that inner has no key twice and none that is null, so nothing is put together
+    afterwards.
+    """
     length = F.col("r_end") - F.col("r_start")
-    found = pairs.groupBy(key).agg(
-        F.count(F.lit(1)).alias("owners"), F.min(F.struct(length.alias("l"), F.col(f"r_{outer_key}").alias("k"))).alias("i"),
-        F.min(F.struct((-length).alias("l"), F.col(f"r_{outer_key}").alias("k"))).alias("o"),
+    longest = outer.agg(F.max(F.col("end") - F.col("start"))).first()[0] or 0
+    rows = inner.select(group, "start").unionByName(outer.select(group, "start")) if density is None else density
+    levels = F.broadcast(cut_lineage(dense_levels(rows, group)))
+    level = F.coalesce("_level", F.lit(max(0, int(longest)).bit_length()))
+    points = inner.select(group, key, "start", "end").join(levels, F.col(group) == F.col("_g"), "left").select(group, key, "start", "end", _floor(F.col("start"), level).alias("_cell"))
+    if not distinct:
+        points = points.repartition(group, "_cell").groupBy(group, "_cell", key, "start", "end").agg(F.count(F.lit(1)).alias("_rows"))
+    ranges = outer.where((F.col("start") < F.col("end")) & F.col(group).isNotNull()).join(levels, F.col(group) == F.col("_g"), "left")
+    cells = F.sequence(_floor(F.col("start"), level), _floor(F.col("end") - 1, level))
+    ranges = ranges.select(F.col(group).alias("_group"), F.explode(cells).alias("_c"), F.col("start").alias("r_start"), F.col("end").alias("r_end"), F.col(outer_key).alias("r_key"), F.lit(1).alias("_met"))
+    holds = (F.col("r_start") <= F.col("start")) & (F.col("start") < F.col("r_end")) & (F.col("end") <= F.col("r_end"))
+    met = points.join(ranges.hint("merge"), (F.col(group) == F.col("_group")) & (F.col("_cell") == F.col("_c")) & holds, "left")
+    # Rows of one key and cell are in one task already.
+    found = met.groupBy(*points.columns).agg(
+        F.count("_met").alias("owners"), F.min(F.struct(length.alias("l"), F.col("r_key").alias("k"))).alias("i"), F.min(F.struct((-length).alias("l"), F.col("r_key").alias("k"))).alias("o")
     )
-    return inner.select(key).join(found, key, "left").select(key, F.coalesce("owners", F.lit(0)).alias("owners"), F.col("i.k").alias("innermost"), F.col("o.k").alias("outermost"))
+    if distinct:
+        return found.select(key, "owners", F.col("i.k").alias("innermost"), F.col("o.k").alias("outermost"))
+    owned = lambda c: F.min(F.when(F.col("owners") > 0, F.col(c))).alias(c)
+    total = found.groupBy(key).agg(F.sum("_rows").alias("n"), F.sum(F.col("owners") * F.col("_rows")).alias("owners"), owned("i"), owned("o"))
+    known = lambda c: F.when(F.col(key).isNotNull(), c)
+    every = total.select(key, F.coalesce(known(F.col("owners")), F.lit(0)).alias("owners"), known(F.col("i.k")).alias("innermost"), known(F.col("o.k")).alias("outermost"), F.explode(F.sequence(F.lit(1).cast("bigint"), "n")))
+    return every.drop("col")
 
 
 def outermost(ranges: DataFrame, group: str, key: str, level: int | None = None) -> DataFrame:

@@ -29,12 +29,21 @@ def units(spark, folder):
     )
 
 
-def references(spark, folder):
-    """(file, ref, start, end, role) per line item; ref is order and line number in one number."""
+# Line numbers below this one give each line item of an order a number that no other order has.
+LINES = 100
+
+
+def references(spark, folder, distinct=False):
+    """(file, ref, start, end, role) per line item; ref is order and line number in one number.
+
+    ``distinct`` says that every order comes once and has line numbers below LINES, so that all rows of a reference are
+    in the task that joins its order.
+    """
     items = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_linestatus", _day("l_shipdate").alias("start"))
     files = table(spark, folder, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("file"))
     # An item may come twice under one number; each number is one reference.
-    one = items.join(files.hint("merge"), "l_orderkey").groupBy("file", (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("ref")).agg(
+    within = ["l_orderkey"] if distinct else []
+    one = items.join(files.hint("merge"), "l_orderkey").groupBy(*within, "file", (F.col("l_orderkey") * LINES + F.col("l_linenumber")).alias("ref")).agg(
         F.min(F.struct("start", F.col("l_quantity").cast("bigint").alias("q"), F.col("l_linestatus").alias("role"))).alias("r")
     )
     return one.select("file", "ref", F.col("r.start").alias("start"), (F.col("r.start") + F.col("r.q")).alias("end"), F.col("r.role").alias("role"))
@@ -49,8 +58,12 @@ rf AS (SELECT file, ref, s, s + q AS e, role FROM (SELECT *, row_number() OVER (
 
 def range_owners(spark, folder):
     """The shortest and the longest unit that contains each reference."""
-    refs, all_units = cut_lineage(references(spark, folder)), cut_lineage(units(spark, folder))
-    return I.owners(refs, all_units, "file", "ref", "id")
+    numbers = F.col("l_linenumber").between(0, LINES - 1)
+    distinct = table(spark, folder, "lineitem").where(~F.coalesce(numbers, F.lit(False))).isEmpty()
+    distinct = distinct and table(spark, folder, "orders").groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    all_units = units(spark, folder)
+    # A file's references stand as dense as its orders, of which each has a few.
+    return I.owners(references(spark, folder, distinct), all_units, "file", "ref", "id", density=all_units, distinct=distinct)
 
 
 QUERIES["range_owners"] = (
